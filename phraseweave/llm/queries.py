@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from phraseweave.llm.common import fold
 from phraseweave.llm.jaccard import jaccard_join
+from phraseweave.llm.language_model import score_language_model
+from phraseweave.llm.packing import pack_documents
+from phraseweave.llm.sentencepiece_codec import digest_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +22,24 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_language_model(docs, fold(docs["doc_id"], 7) != 2)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lm_scoring": op3_lm_scoring,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
