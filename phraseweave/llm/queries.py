@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from phraseweave.llm.common import fold
 from phraseweave.llm.jaccard import jaccard_join
 from phraseweave.llm.language_model import score_language_model
+from phraseweave.llm.license_scan import scan_licenses
 from phraseweave.llm.packing import pack_documents
 from phraseweave.llm.sentencepiece_codec import digest_documents
+from phraseweave.llm.warc import archive_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_language_model(docs, fold(docs["doc_id"], 7) != 2)
@@ -36,6 +46,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_warc_boundaries": op2_warc_boundaries,
     "op3_lm_scoring": op3_lm_scoring,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
