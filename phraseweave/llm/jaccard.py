@@ -265,7 +265,8 @@ def jaccard_join(
 
     wanted = candidates.join(nodes, candidates["node"] == nodes["key"]).select("key", "copy_id", "copies", "component")
     wanted = space.save(wanted, "wanted")
-    texts = rows.join(wanted.select("key", "copy_id"), rows["doc_id"].eqNullSafe(F.col("copy_id"))).select("key", "text")
+    # one plan at every size: the texts are shuffled once, whether or not the other side could be broadcast
+    texts = rows.join(wanted.select("key", "copy_id").hint("merge"), rows["doc_id"].eqNullSafe(F.col("copy_id"))).select("key", "text")
     sets = texts.mapInArrow(_sets(words), "key long, size long, shingles binary").dropDuplicates(["key"])
     sets = space.save(sets, "sets")
     order = Window.partitionBy("component").orderBy("size", "key").rowsBetween(Window.unboundedPreceding, 0)
