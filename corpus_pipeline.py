@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phraseweave.llm.common import Workspace
+from phraseweave.llm.common import Workspace, fold
 from phraseweave.llm.jaccard import keep_one
+from phraseweave.llm.packing import pack_documents
+from phraseweave.llm.quality import drop_low_quality
+from phraseweave.llm.toxicity import drop_toxic
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents left when one stays of each group of near duplicates (five-word runs, Jaccard 0.8 or more)."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose text the highest quality grade is likelier than not."""
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't predicted toxic."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word runs, Jaccard 0.8 or more)."""
     return keep_one(docs)
 
 
-STAGES = [("ngram_jaccard_join", drop_near_duplicates)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left as sequences of at most 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_classifier", quality), ("toxicity", toxicity), ("ngram_jaccard_join", near_duplicates), ("best_fit_packing", packing)]
 
 #: Trained scores and set similarity with a group choice have no SQL form; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     space = Workspace(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phraseweave.llm.common import fold
+from phraseweave.llm.imatch import fingerprint_edits
 from phraseweave.llm.jaccard import jaccard_join
 from phraseweave.llm.language_model import score_language_model
 from phraseweave.llm.license_scan import scan_licenses
 from phraseweave.llm.packing import pack_documents
+from phraseweave.llm.quality import grade_quality
 from phraseweave.llm.sentencepiece_codec import digest_documents
+from phraseweave.llm.toxicity import score_toxicity
 from phraseweave.llm.warc import archive_digests
 
 
@@ -20,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,15 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(docs, fold(docs["doc_id"], 7) != 2)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = grade_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return graded.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", "tail_probability", "keep")
+
+
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,7 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_warc_boundaries": op2_warc_boundaries,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_toxicity": op4_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
