@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseweave.llm.common import fold
+from phraseweave.llm.hilbert_search import nearest_neighbours
 from phraseweave.llm.imatch import fingerprint_edits
 from phraseweave.llm.jaccard import jaccard_join
 from phraseweave.llm.language_model import score_language_model
@@ -29,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_boundaries": op2_warc_boundaries,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
+    "op5_approximate_neighbours": op5_approximate_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
