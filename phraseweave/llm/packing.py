@@ -24,7 +24,15 @@ from phraseweave.llm.common import Workspace, slices
 #: Texts are taken apart before runs of spaces and line feeds that follow anything else. The vocabulary's pattern
 #: never joins two such parts, unless other white space stands in the text.
 PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+RUN = re.compile(r"[ \n]{2}")
+#: Stands before each part of a text without such runs.
+MARK = "\0"
+OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: How the vocabulary's library splits texts before merging. Fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of the characters that a byte-level vocabulary is written in: printable ones stand for themselves, the others for 256 on.
+PRINTABLE = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+BYTE_OF = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: Parts whose ids a worker remembers; it forgets all when there are more.
 REMEMBERED = 400_000
 
@@ -37,10 +45,16 @@ class PartTokens(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        # ids of merge-type vocabularies rank their merges, so the same ids come from the ranks alone, with less work a call
+        plain = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
+        ranks = {bytes(map(BYTE_OF.__getitem__, t)): i for t, i in plain.items()}
+        self.short = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
     def of(cls, path: str) -> PartTokens:
@@ -48,19 +62,25 @@ class PartTokens(dict):
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.whole(part)
-        return ids
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def parts(self, text: str) -> list[str]:
+        if RUN.search(text) or MARK in text:
+            return PARTS.findall(text)
+        parts = text.replace(" ", MARK + " ").replace("\n", MARK + "\n").split(MARK)
+        return parts if parts[0] else parts[1:]
+
     def encode(self, text: str) -> bytes:
         if OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, PARTS.findall(text)))
+        return b"".join(map(self.__getitem__, self.parts(text)))
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = np.array(self.short(part), "<u4").tobytes()
+        return ids
 
 
 def _pieces(path: str, capacity: int, end_id: int):
