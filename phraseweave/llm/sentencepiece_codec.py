@@ -12,6 +12,8 @@ Texts are encoded word by word: no piece has a space mark after another characte
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from phraseweave.llm.common import slices
 
 SPACE = "▁"
+#: Words with their space marks, line feeds, and what follows these.
+WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+MARK = "\0"
+NEVER = float("-inf")
 #: Words whose ids a worker remembers, and pairs of pieces; it forgets all when there are more.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 300_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 700_000
 
 
 class BacktrackingEncoder(dict):
@@ -45,11 +51,17 @@ class BacktrackingEncoder(dict):
         self.ids = dict(plain)
         self.score = {p: model.get_score(i) for p, i in plain}
         self.piece = [p for p, _ in kinds]
-        self.text = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(SPACE, " ").encode() for p, i in kinds]
+        # what an id stands for in a text; a byte outside ASCII stands for nothing alone
+        self.text = ["" if model.is_control(i) else " ⁇ " if model.is_unknown(i) else p.replace(SPACE, " ") for p, i in kinds]
+        for b, i in self.bytes.items():
+            self.text[i] = chr(b) if b < 128 else None
         self.silent = {i for _, i in kinds if model.is_control(i)}
         if any(SPACE in p.lstrip(SPACE) for p, _ in plain):
             raise ValueError("the model has pieces that span words")
-        self.longest = max(map(len, self.ids))
+        self.within = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        if any("\n" in pair for pair in self.within):
+            raise ValueError("the model has pieces that span lines")
+        self.stretches: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
@@ -65,13 +77,19 @@ class BacktrackingEncoder(dict):
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
+        parts, get = list(text), self.score.get
+        scores = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
                 break
-            i = -best[1]
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def agree(self, a: str, b: str) -> bool:
@@ -90,12 +108,10 @@ class BacktrackingEncoder(dict):
 
     def matches(self, text: str) -> list[list[int]]:
         """Lengths of the pieces that start at each place, shortest first; a character without a piece stands alone."""
-        out: list[list[int]] = [[] for _ in text]
+        out: list[list[int]] = [[1] for _ in text]
         for end, size in self.automaton.iter(text):
-            out[end - size + 1].append(size)
-        for i, sizes in enumerate(out):
-            if 1 not in sizes:
-                sizes.insert(0, 1)
+            if size > 1:
+                out[end - size + 1].append(size)
         return out
 
     def encode_word(self, text: str) -> list[str]:
@@ -129,12 +145,27 @@ class BacktrackingEncoder(dict):
         return taken
 
     def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.encode_word(word):
-            known = self.ids.get(piece)
-            ids.extend([known] if known is not None else [self.bytes[b] for b in piece.encode()])
-        out = self[word] = np.array(ids, "<u4").tobytes()
-        return out
+        """Ids of a word, stretch by stretch: no piece joins two characters that follow each other in none."""
+        within, start, out = self.within, 0, []
+        for i in range(1, len(word)):
+            if (word[i - 1], word[i]) not in within:
+                out.append(self.stretch(word[start:i]))
+                start = i
+        out.append(self.stretch(word[start:]))
+        ids = self[word] = b"".join(out)
+        return ids
+
+    def stretch(self, text: str) -> bytes:
+        known = self.stretches.get(text)
+        if known is None:
+            if len(self.stretches) > REMEMBERED_WORDS:
+                self.stretches.clear()
+            ids: list[int] = []
+            for piece in self.encode_word(text):
+                one = self.ids.get(piece)
+                ids.extend([one] if one is not None else [self.bytes[b] for b in piece.encode()])
+            known = self.stretches[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text without begin and end; an empty text has none."""
@@ -142,35 +173,30 @@ class BacktrackingEncoder(dict):
             return b""
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        words = (SPACE + text.replace(" ", SPACE)).split(SPACE)[1:]
-        if "" in words:  # runs of spaces stay with the word behind them
-            joined, run = [], ""
-            for w in words:
-                run += SPACE
-                if w:
-                    joined.append(run + w)
-                    run = ""
-            return b"".join(map(self.__getitem__, [*joined, run] if run else joined))
-        return b"".join(map(self.__getitem__, [SPACE + w for w in words]))
+        if text[0] == " " or "  " in text or SPACE in text or MARK in text:
+            return b"".join(map(self.__getitem__, WORDS.findall(SPACE + text.replace(" ", SPACE))))
+        # without runs of spaces, words and lines are what stands between single signs
+        words = (SPACE + text).replace(" ", MARK + SPACE).replace("\n", MARK + "\n" + MARK).split(MARK)
+        return b"".join(map(self.__getitem__, words))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are silent, bytes that form no character become U+FFFD each, the first space mark goes."""
-        text = self.text
-        if self.byte_of.keys().isdisjoint(ids.tolist()):
-            out = b"".join(map(text.__getitem__, ids.tolist())).decode()
-        else:
+        numbers = ids.tolist()
+        try:
+            out = "".join(map(self.text.__getitem__, numbers))
+        except TypeError:  # bytes outside ASCII
             parts: list[str] = []
             run = bytearray()
-            for i in ids.tolist():
+            for i in numbers:
                 if i in self.byte_of:
                     run.append(self.byte_of[i])
                     continue
                 if run:
                     parts.append(_characters(bytes(run)))
                     run.clear()
-                parts.append(text[i].decode())
+                parts.append(self.text[i])
             out = "".join(parts) + _characters(bytes(run))
-        first = next((self.piece[i] for i in ids.tolist() if i not in self.silent), "")
+        first = next((self.piece[i] for i in numbers if i not in self.silent), "")
         return out[1:] if first.startswith(SPACE) else out
 
 
