@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def paragraphs(text: Column) -> Column:
@@ -238,15 +239,16 @@ def redirect_html(text: str, targets: dict[str, str]) -> str:
     return PAGE_LINK.sub(change, text)
 
 
-PARAGRAPHS = "array<struct<text:string,anchors:array<struct<href:string,text:string>>>>"
+PAIR = StructType([StructField("href", StringType()), StructField("text", StringType())])
+PARAGRAPHS = ArrayType(StructType([StructField("text", StringType()), StructField("anchors", ArrayType(PAIR))]))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_of_wikitext(text: pd.Series) -> pd.Series:
     return text.map(wikitext_to_html)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def without_braces(text: pd.Series) -> pd.Series:
     return text.map(strip_braces, na_action="ignore")
 
@@ -260,6 +262,6 @@ def paragraphs_of_html(html: pd.Series) -> pd.Series:
 TREEBANK = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/-]\d+)*|[^\w\s]|_")
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def treebank_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: TREEBANK.findall(t or ""))
