@@ -57,8 +57,13 @@ def tagged(words: Column, links: Column) -> Column:
     plain = F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(None).cast("string").alias("link")))
 
     def mark(done: Column, link: Column) -> Column:
-        hit = covered_indexes(words, link["words"])
-        return F.transform(done, lambda t, i: F.struct(t["text"].alias("text"), F.when(F.array_contains(hit, i), link["address"]).otherwise(t["link"]).alias("link")))
+        size = F.size(link["words"])
+
+        def covered(i: Column) -> Column:  # one of the places that begin just before here matches
+            before = F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1)
+            return (size > 0) & F.exists(before, lambda k: (i >= k) & (F.slice(words, F.greatest(i - k + 1, F.lit(1)), size) == link["words"]))
+
+        return F.transform(done, lambda t, i: F.struct(t["text"].alias("text"), F.when(covered(i), link["address"]).otherwise(t["link"]).alias("link")))
 
     return F.aggregate(links, plain, mark)
 

@@ -221,15 +221,15 @@ def sentences(spark, d):
 
 
 @query(
-    f"WITH {synth.SENTENCES} SELECT sentence_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(sentence, ' +', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g'), '\\[[0-9]+\\]', '', 'g'), ' '), x -> length(x) > 1 OR x IN ('a', 'A', 'I')), ' ') AS cleaned FROM sentences"
+    f"WITH {synth.SENTENCES} SELECT sentence_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(sentence, ' +', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g'), '\\[[0-9]+\\]', '', 'g'), ' '), lambda x: length(x) > 1 OR x IN ('a', 'A', 'I')), ' ') AS cleaned FROM sentences"
 )
 def clean_input(spark, d):
     return synth.sentences(spark, d).select("sentence_id", T.cleaned(F.col("sentence")).alias("cleaned"))
 
 
 @query(
-    f"WITH {synth.SENTENCES}, m AS (SELECT sentence_id, words, list_filter(range(0, len(words) - 1), i -> words[i + 1] = 'the' AND words[i + 2] = 'the') AS at FROM sentences)"
-    " SELECT sentence_id, len(at) AS matches, array_to_string(list_sort(list_distinct(list_concat(at, list_transform(at, i -> i + 1)))), ',') AS covered FROM m WHERE len(at) > 0"
+    f"WITH {synth.SENTENCES}, m AS (SELECT sentence_id, words, list_filter(range(0, len(words) - 1), lambda i: words[i + 1] = 'the' AND words[i + 2] = 'the') AS hits FROM sentences)"
+    " SELECT sentence_id, len(hits) AS matches, array_to_string(list_sort(list_distinct(list_concat(hits, list_transform(hits, lambda i: i + 1)))), ',') AS covered FROM m WHERE len(hits) > 0"
 )
 def token_match(spark, d):
     the = F.array(F.lit("the"), F.lit("the"))
@@ -251,7 +251,8 @@ def link_addresses(spark, d):
 def link_tags(spark, d):
     made = [("/wiki/and", ["and"]), ("/wiki/x", ["the"]), ("/wiki/the", ["the"]), ("/wiki/the", ["the", "of"])]
     links = F.array(*(F.struct(F.lit(a).alias("address"), F.array(*map(F.lit, w)).alias("words")) for a, w in made))
-    out = synth.sentences(spark, d).select("sentence_id", T.tagged(F.col("words"), links).alias("tokens")).filter(T.contains_any_link(F.col("tokens")))
+    wanted = synth.sentences(spark, d).filter(F.arrays_overlap("words", F.array(F.lit("the"), F.lit("and"))))
+    out = wanted.select("sentence_id", T.tagged(F.col("words"), links).alias("tokens"))
     return out.select("sentence_id", whole(F.size(F.filter("tokens", lambda t: t["link"].isNotNull())), "tagged"), whole(F.size(T.contained_links(F.col("tokens"))), "links"))
 
 
@@ -337,7 +338,7 @@ def pattern_summary(spark, d):
 
 
 CLEANED = f"""{synth.MERGED}, strong AS (SELECT * FROM pattern_word WHERE path <> '' AND n >= 5),
-  live AS (SELECT DISTINCT relation, path FROM strong), dead AS (SELECT DISTINCT relation, path FROM (SELECT relation, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), i -> array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM live) x WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.relation = x.relation AND l.path = x.pre))"""
+  live AS (SELECT DISTINCT relation, path FROM strong), dead AS (SELECT DISTINCT relation, path FROM (SELECT relation, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM live) x WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.relation = x.relation AND l.path = x.pre))"""
 
 
 @query(f"WITH RECURSIVE {CLEANED} SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.relation = s.relation AND d.path = s.path)")
@@ -363,7 +364,7 @@ def tree_violations(spark, d):
 INTERSECTED = f"""{CLEANED}, learnt AS (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.relation = s.relation AND d.path = s.path)),
   common AS (SELECT p.sentence_id, p.link, l.relation, p.path, p.word, least(p.n, l.n) AS n FROM patterns p JOIN learnt l USING (path, word)),
   there AS (SELECT DISTINCT sentence_id, link, relation, path FROM common),
-  gone AS (SELECT DISTINCT sentence_id, link, relation, path FROM (SELECT *, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), i -> array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM there) x WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.sentence_id = x.sentence_id AND t.link = x.link AND t.relation = x.relation AND t.path = x.pre)),
+  gone AS (SELECT DISTINCT sentence_id, link, relation, path FROM (SELECT *, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM there) x WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.sentence_id = x.sentence_id AND t.link = x.link AND t.relation = x.relation AND t.path = x.pre)),
   inter AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sentence_id = c.sentence_id AND g.link = c.link AND g.relation = c.relation AND g.path = c.path)),
   syntax AS (SELECT sentence_id, link, relation, least(1.0, power(sum(n) / least(1, covered_sentences), 2) / own / (words / covered_sentences)) AS syntax
     FROM inter JOIN (SELECT sentence_id, link, sum(n) AS own FROM patterns GROUP BY ALL) USING (sentence_id, link) JOIN (SELECT relation, sum(n) AS words FROM learnt GROUP BY ALL) USING (relation) JOIN meta USING (relation) GROUP BY sentence_id, link, relation, covered_sentences, own, words)"""

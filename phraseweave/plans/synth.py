@@ -98,7 +98,7 @@ KEPT = f"""{COUNTS}, kept AS (SELECT p, side, type, n, facts FROM counts JOIN pr
     FROM predicates LEFT JOIN probs USING (p) GROUP BY p, predicates.facts)"""
 SENTENCES = r"""para AS (SELECT doc_id, len(ps) AS n, unnest(ps) AS ptext, generate_subscripts(ps, 1) - 1 AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents WHERE lang = 'en')),
   sents AS (SELECT doc_id, n, par, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT *, string_split(regexp_replace(ptext, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) AS ss FROM para)),
-  sentences AS (SELECT doc_id * 100000000 + par * 10000 + sent AS sentence_id, doc_id, par / n AS relative_position, sentence, list_filter(string_split(sentence, ' '), x -> x <> '') AS words FROM sents WHERE trim(sentence, ' ') <> '')"""
+  sentences AS (SELECT doc_id * 100000000 + par * 10000 + sent AS sentence_id, doc_id, par / n AS relative_position, sentence, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS words FROM sents WHERE trim(sentence, ' ') <> '')"""
 PARSES = f"""{SENTENCES}, short AS (SELECT * FROM sentences WHERE len(words) BETWEEN 1 AND 50),
   parse AS (SELECT sentence_id, idx, word, idx // 2 AS head, ['nsubj', 'dobj', 'compound', 'auxpass', 'amod'][length(word) % 5 + 1] AS deprel FROM (SELECT sentence_id, unnest(words) AS word, generate_subscripts(words, 1) AS idx FROM short)),
   links AS (SELECT sentence_id, '/wiki/' || word AS link, idx FROM parse WHERE regexp_matches(word, '^[A-Za-z]{{9,}}$'))"""
