@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from phraseweave.llm.common import WORD_BYTES, encode, hash_words, slices, split_words
 
-#: A map of term hashes to this many places.
-BITS = 22
+#: Terms are hashed to so many bits: collisions between a text's terms and telling ones stay rare.
+BITS = 31
 #: Reads texts, gives rows (ascending) and hashed terms of their distinct terms.
 Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -71,13 +71,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Colu
 
 def telling_terms(y: np.ndarray, texts: list[np.ndarray], most: int, least_texts: int = 5, least_gain: float = 36.0) -> np.ndarray:
     """The terms whose presence says most about a two-way split of the texts (log-likelihood ratio), sorted."""
-    flat = np.concatenate([*texts, np.zeros(0, np.int32)])
-    weight = np.repeat(y, [len(t) for t in texts])
-    n1, n = float(y.sum()), float(len(y))
-    size = 1 << BITS
-    df = np.bincount(flat, minlength=size)
-    terms = np.flatnonzero((df >= least_texts) & (df < n))
-    with_term, both = df[terms].astype(float), np.bincount(flat, weights=weight, minlength=size)[terms]
+    positive = [t for t, one in zip(texts, y, strict=True) if one]
+    n1, n = float(len(positive)), float(len(y))
+    every, df = np.unique(np.concatenate([*texts, np.zeros(0, np.int32)]), return_counts=True)
+    theirs, count = np.unique(np.concatenate([*positive, np.zeros(0, np.int32)]), return_counts=True)
+    both = np.zeros(len(every))
+    both[np.searchsorted(every, theirs)] = count
+    kept = (df >= least_texts) & (df < n)
+    terms, with_term, both = every[kept].astype(np.int64), df[kept].astype(float), both[kept]
 
     def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-300) / np.maximum(expected, 1e-300)), 0)
@@ -89,8 +90,8 @@ def telling_terms(y: np.ndarray, texts: list[np.ndarray], most: int, least_texts
 
 def sparse(texts: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, index into terms) of the terms that the texts have."""
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return select(rows, np.concatenate([*texts, np.zeros(0, np.int32)]), terms)
+    found = [select(np.full(len(t), i), t, terms) for i, t in enumerate(texts)]
+    return tuple(np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
 def select(rows: np.ndarray, found: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
