@@ -371,8 +371,8 @@ INTERSECTED = f"""{CLEANED}, learnt AS (SELECT * FROM strong s WHERE NOT EXISTS
 
 
 def _matched(spark, d):
-    patterns, meta = _inputs(spark, d)
-    learnt = pattern.clean_words(pattern.merge(patterns, meta.select("pattern_id", "relation")), 5)
+    patterns, meta = (x.checkpoint() for x in _inputs(spark, d))  # read many times below
+    learnt = pattern.clean_words(pattern.merge(patterns, meta.select("pattern_id", "relation")), 5).checkpoint()
     every = F.array(*(F.lit(f"r{i}") for i in range(3)))
     candidates = meta.select("pattern_id").distinct().select("pattern_id", F.explode(every).alias("relation"))
     return patterns, meta, learnt, candidates
