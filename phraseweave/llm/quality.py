@@ -122,12 +122,12 @@ def _grade(model: CumulativeLink):
     return run
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, most_terms: int = 4096) -> CumulativeLink:
+def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> CumulativeLink:
     y, texts = labelled_sample(docs, labels, "quality", train, sample, words_and_shapes)
     return CumulativeLink.fit(np.array(y, np.int64), texts, most_terms)
 
 
-def grade_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, most_terms: int = 4096) -> DataFrame:
+def grade_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> DataFrame:
     """Expected quality grade of every whole text of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality).
 
     Grades are the distinct values of quality. Only labels for which ``train`` (a condition on

@@ -73,12 +73,12 @@ def _score(model: FactorizationMachine):
     return run
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, most_terms: int = 4096) -> FactorizationMachine:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> FactorizationMachine:
     y, texts = labelled_sample(docs, labels, "toxic", train, sample, words_and_prefixes)
     return FactorizationMachine.fit((np.array(y) > 0).astype(float), texts, most_terms)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, most_terms: int = 4096) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> DataFrame:
     """Toxicity of every whole text of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
 
     Only labels for which ``train`` (a condition on doc_id) holds are learnt from: those of at
