@@ -260,7 +260,7 @@ def link_tags(spark, d):
 def redirect_markup(spark, d):
     part = synth.table(spark, d, "part")
     articles = part.select("p_partkey", F.concat(F.lit("[[Part "), "p_partkey", F.lit("]] and [[Part "), F.col("p_partkey") + 1, F.lit("|x]]")).alias("wikitext"))
-    redirects = spark.range(1, part.count() + 3).filter("id % 3 = 0").select(F.concat(F.lit("Part_"), "id").alias("src"), F.concat(F.lit("Part "), F.col("id") + 1).alias("dst"))
+    redirects = spark.range(0, part.count() + 3).filter("id % 3 = 0").select(F.concat(F.lit("Part_"), "id").alias("src"), F.concat(F.lit("Part "), F.col("id") + 1).alias("dst"))
     return redirect_links(articles, redirects)
 
 
