@@ -30,15 +30,27 @@ U64 = np.uint64
 
 
 class Workspace:
-    """A folder of stored tables below the cluster's shared checkpoint folder."""
+    """A folder of stored tables below the cluster's shared checkpoint folder, removed when the session's JVM ends.
+
+    Without such a folder a session on one machine gets a temporary one; on a cluster that is an error.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:  # tests on one machine
+        if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="phraseweave-")
             spark.sparkContext.setCheckpointDir(root)
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        files, path = self._at(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # results are read from it until then
+
+    def _at(self, where: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         where = f"{self.path}/{table}"
@@ -46,9 +58,8 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, table: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._at(f"{self.path}/{table}")
+        files.delete(path, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
