@@ -18,7 +18,7 @@ from phraseweave.llm.packing import pack_documents
 from phraseweave.llm.quality import grade_quality
 from phraseweave.llm.sentencepiece_codec import digest_documents
 from phraseweave.llm.toxicity import score_toxicity
-from phraseweave.llm.warc import archive_digests
+from phraseweave.llm.warc import DIGESTS_SQL, archive_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc_boundaries": DIGESTS_SQL}
