@@ -2,9 +2,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 from pyspark.sql import types as T
 
-from phraseweave.llm.jaccard import jaccard_join, keep_one, matched_depth
+from phraseweave.llm.common import Workspace
+from phraseweave.llm.jaccard import DEEPEST, candidate_edges, common_levels, jaccard_join, keep_one, matched_depth, shortened, signature
 
 SCHEMA = "doc_id long, text string, key string, class_id int"
 
@@ -65,7 +67,26 @@ def test_one_of_each_group_stays(spark):
     rows = corpus()
     got = keep_one(spark.createDataFrame(rows, SCHEMA))
     assert got.columns == ["doc_id", "text", "key", "class_id"]
-    assert sorted(r.doc_id for r in got.collect()) == sorted({a for a, b, _ in brute(rows) if a == b})
+    groups = {}
+    for (i, c, _), r in zip(sorted(brute(rows)), sorted(rows, key=lambda r: r[0]), strict=True):
+        groups.setdefault(c if words(r[1]) else ("none", i), set()).add(i)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_rows_that_share_an_id_but_no_text_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a, "x", 1), (1, b, "x", 1), (2, c, "x", 1), (3, a, "x", 1), (1, a, "w", 2), (None, b, "x", 1), (None, c + " more", "x", 1)]
+    rows += [(None, f"{x} alone in its group {x} {x} {x}", "x", n) for x in "pqr" for n in range(3)] + [(None, None, "x", 1)] * 2 + [(7, "", "x", 1)] * 2
+    got = keep_one(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    kept = sorted(((r.doc_id, r.text, r.key, r.class_id) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a, "w", 2), (1, b, "x", 1), (2, c, "x", 1), *((None, f"{x} alone in its group {x} {x} {x}", "x", 0) for x in "pqr"), *[(None, None, "x", 1)] * 2, *[(7, "", "x", 1)] * 2], key=str)
+
+
+def test_null_ids_meet_only_their_own_texts(spark):
+    rows = [(None, f"text number {i // 2} of many rows without any id {i // 2}", "", 0) for i in range(600)]
+    got = jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 600 and {(r.doc_id, r.class_id, r.copy_id) for r in got} == {(None, None, None)}
+    assert sorted(r.n_links for r in got) == sorted(n for _, _, n in brute([(0, *r[1:]) for r in rows]))
 
 
 def test_blocks_of_a_large_group(spark):
@@ -84,7 +105,45 @@ def test_empty_table_and_null_id(spark):
     assert [f.dataType for f in jaccard_join(empty).schema] == [T.LongType()] * 4
 
 
-def test_depth_shortens_until_the_target():
+def test_one_depth_for_all_trees():
     assert matched_depth(0.8, 32, 12, 0.9999) == 6
     assert matched_depth(0.8, 32, 12, 0.0) == 12
     assert matched_depth(0.1, 1, 12, 1.0) == 1
+
+
+def recall_of(depths, threshold):
+    return 1 - np.prod([1 - threshold**d for d in depths])
+
+
+def test_prefixes_are_shortened_where_that_is_cheap():
+    matches = np.array([[100 * (DEEPEST - d) for d in range(DEEPEST + 1)]] * 32)
+    even = shortened(matches, 0.8, 4, 0.9999)
+    assert recall_of(even, 0.8) >= 0.9999 and recall_of([*even[:-1], DEEPEST + 1], 0.8) < 0.99999
+    matches[:8, :7] += 10**9  # trees that are dense at six levels keep longer prefixes
+    uneven = shortened(matches, 0.8, 4, 0.9999)
+    assert min(uneven[:8]) >= 7 and min(uneven[8:]) < 7 and recall_of(uneven, 0.8) >= 0.9999
+    assert shortened(matches, 0.8, 4, 0.0) == [DEEPEST] * 32
+
+
+def test_levels_that_paths_share():
+    a = np.array([[1 << 60, 5], [7, 5], [7, 5], [0, 0]], np.uint64)
+    b = np.array([[1 << 61, 5], [7, 6], [7, 5], [1 << 20, 0]], np.uint64)
+    assert list(common_levels(a, b)) == [0, 7, 8, 2]
+
+
+def test_measured_recall_of_the_forest(spark):
+    """Pairs at a Jaccard index of 0.8 meet as often as asked, over many tasks of the sort, and pairs of less hardly."""
+    rng = np.random.default_rng(2)
+    rows, pairs = [], 400
+    for i in range(2 * pairs):
+        shared = 160 if i < pairs else 60
+        every = rng.integers(0, 2**64, 2 * 180 - shared, dtype=np.uint64)
+        for j, own in enumerate((every[:180], every[180 - shared :])):
+            rows.append((2 * i + j, signature(np.sort(own), 32, 7).view(np.int64).tolist()))
+    nodes = spark.createDataFrame(rows, "key long, paths array<long>").repartition(11)
+    for target in (0.9999, 0.9, 0.5):
+        edges = candidate_edges(nodes, 32, 0.8, target, Workspace(spark, "test")).distinct().collect()
+        met = {e.src // 2 for e in edges if e.src // 2 == e.dst // 2}
+        near = sum(m < pairs for m in met) / pairs
+        assert near >= target - 0.06 and sum(m >= pairs for m in met) < 0.1 * pairs
+        assert near <= target + (1 - target) * 0.5 + 0.06  # no more than was asked: prefixes stay long
