@@ -1,4 +1,9 @@
-"""Texts as sets of hashed terms, and a bounded sample of labelled texts to learn from."""
+"""Texts as sets of hashed terms, a bounded sample of labelled texts to learn from, and which terms a model has.
+
+A model may have any term of the sample. It has those that tell: beyond chance, the sum of its errors
+over the texts with the term isn't zero. As errors change when the model has more terms, terms
+enter in rounds, until none does.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseweave.llm.common import WORD_BYTES, encode, hash_words, slices, split_words
+from phraseweave.llm.common import WORD_BYTES, Workspace, encode, hash_words, slices, split_words
 
 #: Terms are hashed to so many bits: collisions between a text's terms and telling ones stay rare.
 BITS = 31
@@ -45,53 +50,86 @@ def _features(read: Reader):
         for part in slices(batches):
             rows, terms = read(part.column("text"))
             cut = np.searchsorted(rows, np.arange(1, part.num_rows))
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([t.astype(np.int32).tobytes() for t in np.split(terms, cut)], pa.binary())], ["label", "terms"])
+            sets = np.split(terms.astype(np.int32), cut)
+            yield pa.RecordBatch.from_arrays([part.column("nth"), part.column("label"), pa.array([len(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["nth", "label", "size", "terms"])
 
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, most: int, read: Reader) -> tuple[list[int], list[np.ndarray]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, most: int, most_held: int, read: Reader) -> tuple[list[int], list[np.ndarray]]:
     """Labels and hashed terms of at most ``most`` labelled texts, the same choice at any partitioning.
 
     Rows of ``labels`` (doc_id, ``column``) without id or label are left out; an id with several
-    labels has the largest. ``train`` is a condition on doc_id. At most ``most`` ids are sent to executors
-    and as many term sets to the driver.
+    labels has the largest. ``train`` is a condition on doc_id. At most ``most`` ids are sent to
+    executors, and to the driver as many of their texts, in the order of the choice, as have
+    ``most_held`` terms together (four bytes each).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # labels of documents that are not here any more don't use up the bound
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).join(texts.select("doc_id"), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_features(read), "label int, terms binary").toArrow()
+    chosen = known.select("doc_id", "label", F.xxhash64("doc_id").alias("nth")).orderBy("nth", "doc_id").limit(most)
+    space = Workspace(docs.sparkSession, "labelled")
+    found = space.save(texts.join(F.broadcast(chosen), "doc_id").select("nth", "label", "text").mapInArrow(_features(read), "nth long, label int, size long, terms binary"), "terms")
+    # rows that repeat an id come once for each text of theirs; no more rows than the bound
+    upto = Window.orderBy("nth", "size", F.xxhash64("terms")).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.groupBy("nth", "label", "size", "terms").count().drop("count").orderBy("nth", "size", F.xxhash64("terms")).limit(most)
+    held = found.withColumn("held", F.sum("size").over(upto)).filter(F.col("held") <= most_held).select("label", "terms").toArrow()
     # copies say the same once
-    order = sorted(dict(zip(found.column("terms").to_pylist(), found.column("label").to_pylist(), strict=True)).items(), key=lambda x: (x[1], x[0]))
+    order = sorted(dict(zip(held.column("terms").to_pylist(), held.column("label").to_pylist(), strict=True)).items(), key=lambda x: (x[1], x[0]))
     order = [(label, terms) for terms, label in order]
     return [y for y, _ in order], [np.frombuffer(t, np.int32) for _, t in order]
 
 
-def telling_terms(y: np.ndarray, texts: list[np.ndarray], most: int, least_texts: int = 5, least_gain: float = 36.0) -> np.ndarray:
-    """The terms whose presence says most about a two-way split of the texts (log-likelihood ratio), sorted."""
-    positive = [t for t, one in zip(texts, y, strict=True) if one]
-    n1, n = float(len(positive)), float(len(y))
-    every, df = np.unique(np.concatenate([*texts, np.zeros(0, np.int32)]), return_counts=True)
-    theirs, count = np.unique(np.concatenate([*positive, np.zeros(0, np.int32)]), return_counts=True)
-    both = np.zeros(len(every))
-    both[np.searchsorted(every, theirs)] = count
-    kept = (df >= least_texts) & (df < n)
-    terms, with_term, both = every[kept].astype(np.int64), df[kept].astype(float), both[kept]
+def incidence(texts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms that at least ``least`` texts have, sorted; and rows and columns of the texts' terms among them."""
+    flat = np.concatenate([*texts, np.zeros(0, np.int32)])
+    every, count = np.unique(flat, return_counts=True)
+    terms = every[count >= least]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    rows, columns = select(row, flat, terms)
+    return terms.astype(np.int64), rows, columns.astype(np.int32)
+
+
+def least_texts(share: float, least_gain: float) -> float:
+    """In fewer texts a term can't reach the gain, whatever their labels: leaving it out changes no choice."""
+    rarest = min(max(min(share, 1 - share), 1e-9), 0.5)
+    return least_gain / (-2 * np.log(rarest))
+
 
-    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-300) / np.maximum(expected, 1e-300)), 0)
+def gains(y: np.ndarray, chance: np.ndarray, rows: np.ndarray, columns: np.ndarray, m: int) -> np.ndarray:
+    """Log-likelihood ratio of each term: its texts' positive labels against those that the model expects (chance of each text)."""
+    n, positive, expected = np.bincount(columns, minlength=m).astype(float), np.bincount(columns, weights=y[rows], minlength=m), np.bincount(columns, weights=chance[rows], minlength=m)
 
-    gain = 2 * sum(part(o, e) for o, e in ((both, with_term * n1 / n), (with_term - both, with_term * (n - n1) / n), (n1 - both, (n - with_term) * n1 / n), (n - n1 - with_term + both, (n - with_term) * (n - n1) / n)))
-    best = np.lexsort((terms, -gain))[:most]
-    return np.sort(terms[best[gain[best] >= least_gain]])
+    def part(seen: np.ndarray, thought: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(thought, 1e-300)), 0)
 
+    return 2 * (part(positive, expected) + part(n - positive, n - expected))
 
-def sparse(texts: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, index into terms) of the terms that the texts have."""
-    found = [select(np.full(len(t), i), t, terms) for i, t in enumerate(texts)]
-    return tuple(np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+def pair_directions(error: np.ndarray, spread: np.ndarray, rows: np.ndarray, columns: np.ndarray, m: int, factors: int, seed: int, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of the terms' factors along which the likelihood is steepest, and how steep in standard deviations (largest of all factors).
+
+    From factors near zero the slope along v_i is the sum over texts of error times the other
+    terms' factors: following it is power iteration on the terms' pairwise sums of errors, so pairs come
+    up that tell together though neither term tells alone. spread: variance of each text's label.
+    """
+    v = np.random.default_rng(seed).normal(size=(m, factors))
+    steep = np.zeros((m, factors))
+    if not m:
+        return v, np.zeros(0)
+    for _ in range(turns):
+        for f in range(factors):
+            own = v[columns, f]
+            others = np.bincount(rows, weights=own, minlength=len(error))[rows] - own
+            slope = np.bincount(columns, weights=error[rows] * others, minlength=m)
+            chance = np.bincount(columns, weights=spread[rows] * others * others, minlength=m)
+            steep[:, f] = slope / np.sqrt(np.maximum(chance, 1e-12))
+        v = steep * steep * steep
+        if factors > 1 and m >= factors:
+            v = np.linalg.qr(v / np.maximum(np.abs(v).max(axis=0), 1e-300))[0]
+        v = v / np.maximum(np.abs(v).max(axis=0), 1e-300)
+    return v, np.abs(steep).max(axis=1, initial=0)
 
 
 def select(rows: np.ndarray, found: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseweave.llm.common import slices
-from phraseweave.llm.hashed_terms import Adam, keep_rows, labelled_sample, select, sparse, telling_terms, words_and_prefixes
+from phraseweave.llm.hashed_terms import Adam, gains, incidence, keep_rows, labelled_sample, least_texts, pair_directions, select, words_and_prefixes
+
+#: Log-likelihood ratio from which a term enters the machine, and standard deviations of a pair's slope from which its terms do.
+LEAST_GAIN, LEAST_SLOPE = 36.0, 6.0
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -31,26 +34,60 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, y: np.ndarray, texts: list[np.ndarray], most_terms: int, factors: int = 4, steps: int = 300, penalty: float = 1e-5, seed: int = 0) -> FactorizationMachine:
-        """Weights start at part of the log-odds of their term, the more the more texts have it.
-
-        So a telling term counts alone too, while words of a few copied texts gain no weight beside it.
+    def fit(cls, y: np.ndarray, texts: list[np.ndarray], factors: int = 4, steps: int = 300, rounds: int = 4, penalty: float = 1e-5, seed: int = 0) -> FactorizationMachine:
+        """Trains on all terms; those of which neither weight nor factors leave zero beyond chance are not kept.
+
+        A term enters with a weight when its texts' labels differ from what the machine expects of
+        them by LEAST_GAIN, and with factors when the slope along them is LEAST_SLOPE standard
+        deviations; then all are trained again, in ``rounds`` rounds at most. First weights are part of
+        the log-odds of their term, the more the more texts have it, so words of a few copied texts gain
+        no weight beside a telling one.
         """
-        terms = telling_terms(y, texts, most_terms)
-        rows, columns = sparse(texts, terms)
-        n, m = max(1, len(y)), len(terms)
+        n = max(1, len(y))
         share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-        p = {"bias": np.array([np.log(share / (1 - share))]), "weight": np.zeros(m), "factors": np.random.default_rng(seed).normal(0, 0.02, (m, factors))}
-        positive, every = np.bincount(columns, weights=y[rows], minlength=m), np.bincount(columns, minlength=m)
-        p["weight"] = 0.5 * every / (every + 100) * (np.log((positive + 0.5) / (every - positive + 0.5)) - p["bias"][0])
-        adam = Adam(0.05)
-        for _ in range(steps if len(y) else 0):
-            model = cls(terms, p["bias"], p["weight"], p["factors"])
-            logit, sums = model.logits(rows, columns, n)
-            r = (logistic(logit) - y) / n
-            slope = np.stack([np.bincount(columns, weights=r[rows] * (sums[rows, f] - p["factors"][columns, f]), minlength=m) for f in range(factors)], axis=1)
-            adam.step(p, {"bias": np.array([r.sum()]), "weight": np.bincount(columns, weights=r[rows], minlength=m), "factors": slope + penalty * p["factors"]})
-        return cls(terms, p["bias"], p["weight"], p["factors"])
+        p = {"bias": np.array([np.log(share / (1 - share))])}
+        if not len(y) or y.min() == y.max():
+            return cls(np.zeros(0, np.int64), p["bias"], np.zeros(0), np.zeros((0, factors)))
+        # beyond this bound no slope can be so steep either
+        least = min(least_texts(share, LEAST_GAIN), LEAST_SLOPE**2 * share * (1 - share) / max(share, 1 - share) ** 2)
+        terms, rows, columns = incidence(texts, least)
+        m = len(terms)
+        weight, v = np.zeros(m), np.random.default_rng(seed).normal(0, 0.02, (m, factors))
+        active, logit = np.zeros(m, bool), np.full(n, p["bias"][0])
+        for turn in range(rounds):
+            chance = logistic(logit)
+            new = (gains(y, chance, rows, columns, m) >= LEAST_GAIN) & ~active
+            if not turn:
+                positive, every = np.bincount(columns, weights=y[rows], minlength=m), np.bincount(columns, minlength=m)
+                weight = 0.5 * every / (every + 100) * (np.log((positive + 0.5) / (every - positive + 0.5)) - p["bias"][0])
+            else:
+                weight[new] = 0
+                along, steep = pair_directions(y - chance, chance * (1 - chance), rows, columns, m, factors, seed + turn)
+                paired = (steep >= LEAST_SLOPE) & ~active
+                weight[paired & ~new] = 0
+                v[paired] = 0.3 * along[paired]
+                new |= paired
+                if not new.any():
+                    break
+            active |= new
+            own = np.cumsum(active) - 1
+            inside = active[columns]
+            r, c = rows[inside], own[columns[inside]]
+            p |= {"weight": weight[active], "factors": v[active]}
+            adam = Adam(0.05)
+            for _ in range(steps):
+                adam.step(p, cls(terms[active], p["bias"], p["weight"], p["factors"]).slopes(y, r, c, penalty))
+            weight[active], v[active] = p["weight"], p["factors"]
+            logit = cls(terms[active], p["bias"], p["weight"], p["factors"]).logits(r, c, n)[0]
+        return cls(terms[active], p["bias"], p["weight"], p["factors"])
+
+    def slopes(self, y: np.ndarray, rows: np.ndarray, columns: np.ndarray, penalty: float) -> dict[str, np.ndarray]:
+        """Slopes of the mean negative log-likelihood plus half the penalty times the squared factors."""
+        n, m = len(y), len(self.terms)
+        logit, sums = self.logits(rows, columns, n)
+        r = (logistic(logit) - y) / n
+        along = [np.bincount(columns, weights=r[rows] * (sums[rows, f] - self.factors[columns, f]), minlength=m) for f in range(self.factors.shape[1])]
+        return {"bias": np.array([r.sum()]), "weight": np.bincount(columns, weights=r[rows], minlength=m), "factors": np.stack(along, axis=1) + penalty * self.factors}
 
     def logits(self, rows: np.ndarray, columns: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         v = self.factors
@@ -73,28 +110,33 @@ def _score(model: FactorizationMachine):
     return run
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> FactorizationMachine:
-    y, texts = labelled_sample(docs, labels, "toxic", train, sample, words_and_prefixes)
-    return FactorizationMachine.fit((np.array(y) > 0).astype(float), texts, most_terms)
+def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> FactorizationMachine:
+    y, texts = labelled_sample(docs, labels, "toxic", train, sample, most_held, words_and_prefixes)
+    return FactorizationMachine.fit((np.array(y) > 0).astype(float), texts)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_terms: int = 4096) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> DataFrame:
     """Toxicity of every whole text of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
 
     Only labels for which ``train`` (a condition on doc_id) holds are learnt from: those of at
-    most ``sample`` texts, chosen by a hash of doc_id, so that the driver trains in bounded
-    memory. Inputs of a score are the text's words and word beginnings alone. Returns a row for
-    each row: doc_id, score (0 to 1), predicted (1 from 0.5 on).
+    most ``sample`` texts with ``most_held`` terms in all, chosen by a hash of doc_id, so that
+    the driver trains in bounded memory. Inputs of a score are the text's words and word beginnings
+    alone. Returns a row for each row: doc_id, score (0 to 1), predicted (1 from 0.5 on).
 
     Null and empty texts get the score of the bias, the share of toxic labels. Without labels
-    nothing is predicted toxic. Repeated rows score alike, null ids stay null, an empty table gives no rows.
+    nothing is predicted toxic; a score of exactly 0.5 is. Repeated rows score alike, null ids stay
+    null, an empty table gives no rows.
     """
-    model = learn_toxicity(docs, labels, train, sample, most_terms)
+    model = learn_toxicity(docs, labels, train, sample, most_held)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose text isn't predicted toxic, with all their columns."""
+    """The rows of ``docs`` whose text isn't predicted toxic, with all their columns.
+
+    Null and empty texts are as likely toxic as the share of toxic labels; repeated rows and null ids
+    stay or go by their text alone; an empty table stays empty.
+    """
     score = _scores(learn_toxicity(docs, labels, train, **parameters))
     return keep_rows(docs, lambda texts: score(texts) < 0.5)

@@ -1,13 +1,15 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from phraseweave.llm.common import fold
-from phraseweave.llm.hashed_terms import telling_terms, words_and_prefixes
+from phraseweave.llm.hashed_terms import gains, incidence, labelled_sample, least_texts, words_and_prefixes
 from phraseweave.llm.quality import CumulativeLink, drop_low_quality, grade_quality, shape
-from phraseweave.llm.toxicity import FactorizationMachine, drop_toxic, logistic, score_toxicity
+from phraseweave.llm.toxicity import FactorizationMachine, drop_toxic, score_toxicity
 
 DOCS = "doc_id long, text string, label int, score string, terms int"
 
@@ -67,24 +69,81 @@ def test_nothing_to_learn_from(spark):
     assert grade_quality(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
-def test_pairs_tell_what_single_terms_can_t():
+def either(n, filler, seed=0):
+    """Texts in which exactly one of two words makes the label; alone each says nothing."""
+    rng = random.Random(seed)
+    vocab = [f"f{i}" for i in range(500)]
+    rows = []
+    for i in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(vocab, filler) + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "filler"), [(400, 6), (3000, 30)])
+def test_pairs_tell_what_single_terms_can_t(spark, n, filler):
     """An exclusive-or of two terms: no sum of weights separates it."""
-    y, texts = [], []
-    for i in range(400):
-        a, b = i % 2, i // 2 % 2
-        y.append(float(a != b))
-        texts.append(np.array([t for t, on in ((7, a), (9, b)) if on], np.int32))
-    y = np.array(y)
-    import phraseweave.llm.toxicity as module
-
-    kept, module.telling_terms = module.telling_terms, lambda *_: np.array([7, 9])
-    try:
-        model = FactorizationMachine.fit(y, texts, 10, steps=1500)
-    finally:
-        module.telling_terms = kept
-    rows = np.repeat(np.arange(400), [len(t) for t in texts])
-    columns = np.searchsorted([7, 9], np.concatenate(texts))
-    assert ((logistic(model.logits(rows, columns, 400)[0]) >= 0.5) == (y > 0.5)).all()
+    rows = either(n, filler)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels, fold(F.col("doc_id"), 5) != 0).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum(got[i] == t for i, _, t in held) >= 0.95 * len(held)
+
+
+def test_slopes_against_differences():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 40).astype(float)
+    pairs = np.unique(rng.integers(0, 400, 250))
+    rows, columns = pairs // 10, pairs % 10
+    p = {"bias": rng.normal(size=1), "weight": rng.normal(size=10), "factors": rng.normal(size=(10, 3))}
+
+    def loss(p):
+        logit = FactorizationMachine(np.arange(10), p["bias"], p["weight"], p["factors"]).logits(rows, columns, 40)[0]
+        return np.mean(np.log1p(np.exp(logit)) - y * logit) + 0.5 * 0.01 * (p["factors"] ** 2).sum()
+
+    compare(loss, p, FactorizationMachine(np.arange(10), p["bias"], p["weight"], p["factors"]).slopes(y, rows, columns, 0.01))
+    grade = rng.integers(0, 4, 40)
+    q = {"low": rng.normal(size=1), "gaps": rng.normal(size=2), "weight": rng.normal(size=10)}
+
+    def unlikeliness(q):
+        total = 0.0
+        for i in range(40):
+            z, theta = q["weight"][columns[rows == i]].sum(), q["low"][0] + np.concatenate([[0], np.cumsum(np.exp(q["gaps"]))])
+            up_to = [0.0, *(1 / (1 + np.exp(z - theta))), 1.0]
+            total -= np.log(up_to[grade[i] + 1] - up_to[grade[i]])
+        return total / 40 + 0.5 * 0.01 * (q["weight"] ** 2).sum()
+
+    assert abs(unlikeliness(q) - 0.5 * 0.01 * (q["weight"] ** 2).sum() + np.log(CumulativeLink.chances(q, grade, rows, columns)[0]).mean()) < 1e-12
+    compare(unlikeliness, q, CumulativeLink.slopes(q, grade, 4, rows, columns, 0.01))
+
+
+def compare(loss, p, slopes, step=1e-6):
+    for name, values in p.items():
+        for at in np.ndindex(values.shape):
+            up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+            up[name][at] += step
+            down[name][at] -= step
+            assert abs((loss(up) - loss(down)) / (2 * step) - slopes[name][at]) < 1e-6, (name, at)
+
+
+def test_gains_and_the_terms_that_can_reach_them():
+    y = np.array([1.0] * 30 + [0.0] * 70)
+    rows, columns = np.array([*range(10), *range(20, 50), 99]), np.array([0] * 10 + [1] * 30 + [2])
+    got = gains(y, np.full(100, 0.3), rows, columns, 3)
+    assert np.allclose(got, [20 * np.log(1 / 0.3), 2 * (10 * np.log(10 / 9) + 20 * np.log(20 / 21)), 2 * np.log(1 / 0.7)])
+    assert got[0] < 36 and least_texts(0.3, 36.0) == pytest.approx(36 / (2 * np.log(1 / 0.3)))
+    terms, rows, columns = incidence([np.array([3, 5], np.int32), np.array([5, 9], np.int32), np.array([], np.int32)], 2)
+    assert (list(terms), list(rows), list(columns)) == ([5], [0, 1], [0, 0])
+
+
+def test_the_sample_is_bounded_in_rows_and_terms(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(10))) for i in range(50)] + [(3, None), (4, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sizes = [[len(t) for t in labelled_sample(docs, labels, "toxic", F.lit(True), most, held, words_and_prefixes)[1]] for most, held in ((1000, 10**6), (20, 10**6), (1000, 100))]
+    assert len(sizes[0]) == 52 and len(sizes[1]) == 20 and 0 < sum(sizes[2]) <= 100
 
 
 def test_pair_sum_is_the_sum_over_pairs():
@@ -105,7 +164,7 @@ def test_more_than_two_grades():
         z = rng.integers(0, 3)
         y.append(int(z) * 2 + 1)
         texts.append(np.sort(np.append(rng.choice(np.arange(50, 90), 5, replace=False), [z + 10] if rng.random() < 0.95 else [])).astype(np.int32))
-    model = CumulativeLink.fit(np.array(y), texts, 100)
+    model = CumulativeLink.fit(np.array(y), texts)
     assert list(model.grades) == [1, 3, 5] and (np.diff(model.thresholds) > 0).all()
     tails = model.tails(np.array([0, 1, 2]), np.searchsorted(model.terms, [10, 11, 12]), 3)
     expected = 1 + tails @ np.diff(model.grades)
@@ -116,4 +175,3 @@ def test_terms_and_shapes():
     assert [shape(t) for t in ("The", "THE!!", "the&&&", "|", "x1.5", "ÜBER", "")] == ["a", "L!!", "a&&", "|", "a0.0", "L", ""]
     rows, terms = words_and_prefixes(pa.array(["Under under undercut", None, "ab"]))
     assert [int((rows == i).sum()) for i in range(3)] == [4, 0, 3]  # under, undercut and the beginnings unde and under
-    assert list(telling_terms(np.array([1.0] * 30 + [0.0] * 30), [np.array([5], np.int32)] * 30 + [np.array([6], np.int32)] * 30, 9)) == [5, 6]
