@@ -370,8 +370,8 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     bound = max(1.0, HOT_SHARE * signed_rows.count())
     # at most 1 / HOT_SHARE keys have so many rows
     known = signed_rows.select("doc_id", "tag", "key").join(F.broadcast(whole.filter(F.col("copies") > bound)), "key", "left")
-    rest = known.filter("copies is null").select("doc_id", "tag", "key").join(whole.filter(F.col("copies") <= bound), "key", "left")
-    return known.filter("copies is not null").unionByName(rest).select(
+    rest = known.filter("copies is null and key is not null").select("doc_id", "tag", "key").join(whole.filter(F.col("copies") <= bound), "key")
+    return known.filter("copies is not null or key is null").unionByName(rest).select(
         "doc_id",
         "tag",
         "label",
