@@ -410,6 +410,25 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees:
     return _joined(docs, words, threshold, trees, target_recall, seed).select("doc_id", "class_id", "copy_id", "n_links")
 
 
+def join_sql(words: int = 5, threshold: float = 0.8) -> str:
+    """DuckDB SQL for the rows of ``jaccard_join`` on the table documents: all pairs that share a run are counted."""
+    top, below = ratio(threshold)
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+             ELSE list_sort(list_distinct([array_to_string(w[i + 1:i + {words}], ' ') FOR i IN range(len(w) - {words - 1})])) END AS runs FROM d),
+e AS (SELECT r, len(runs) AS size, unnest(runs) AS run FROM s),
+l AS (SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.run = b.run AND a.r <> b.r GROUP BY a.r, b.r, a.size, b.size
+      HAVING count(*) * {below + top} >= {top} * (a.size + b.size)),
+g AS (SELECT x, y FROM l UNION SELECT r, r FROM s UNION SELECT g.x, l.y FROM g JOIN l ON g.y = l.x),
+c AS (SELECT g.x, min(s.doc_id) AS class_id FROM g JOIN s ON g.y = s.r GROUP BY g.x),
+m AS (SELECT runs, min(doc_id) AS copy_id FROM s WHERE len(runs) > 0 GROUP BY runs),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT s.doc_id, c.class_id, coalesce(m.copy_id, s.doc_id) AS copy_id, coalesce(n.n_links, 0)::BIGINT AS n_links
+FROM s JOIN c ON c.x = s.r LEFT JOIN m ON m.runs = s.runs LEFT JOIN n ON n.x = s.r
+"""
+
+
 #: A word's first character.
 HAS_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 

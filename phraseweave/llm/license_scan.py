@@ -1,14 +1,15 @@
 """License scans as an exact set-similarity join between text blocks and license templates.
 
-A block is a window of a text's words; windows of a template's length at every step lie in
-one of the overlapping blocks. A template's tokens are put in order of their global frequency (how
-many texts hold each, counted over all texts), rarest first. For a containment of t, a block
-must share a = ceil(t |template|) tokens with it, so
+A block for a template of n words is a window of n words of a text, at any place. Tokens are in one
+global order: words that no template has, then template words by how many texts have each (counted
+over all texts), rarest first. For a containment of t a block must share a = ceil(t |template|)
+tokens with the template, so
 
-* prefix filter: one of the template's first |template| - a + 1 tokens is in the block;
+* prefix filter: the first token in common is one of the template's first |template| - a + 1, so
+  only windows around words of that prefix are looked at;
 * length filter: the block has a distinct words or more;
-* positional filter: when the first common token is the template's i-th, at most
-  |template| - i tokens can be common, which must reach a.
+* positional filter: when the first token in common is the template's i-th and the block's j-th, as
+  many tokens can be common as come from there on in either, and that must reach a.
 
 What is left is verified on the words themselves: an exact phrase must stand consecutively,
 a text template must reach the containment. No block leaves the task that made it; only
@@ -30,7 +31,7 @@ from phraseweave.llm.common import WORD_BYTES, ratio, slices
 
 #: Phrases whose words must stand consecutively, and their labels. Fixed values.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Texts that name a license; a block that holds enough of a text's words gets its label. Fixed values.
+#: Texts that name a license; a block that holds enough of a text's words gets its label.
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "released under the mit license": "mit",
@@ -51,7 +52,9 @@ class Template:
     words: tuple[bytes, ...]
     label: str
     exact: bool
-    tokens: list[bytes] = field(default_factory=list)
+    #: places of its tokens in the global order, ascending, and the place of each in that list
+    tokens: list[int] = field(default_factory=list)
+    nth: dict[int, int] = field(default_factory=dict)
     need: int = 0
 
 
@@ -60,51 +63,61 @@ class TemplateIndex:
 
     def __init__(self, templates: list[Template], frequency: dict[bytes, int], threshold: float):
         top, below = ratio(threshold)
-        self.prefix: dict[bytes, list[tuple[Template, int]]] = {}
+        every = sorted({w for t in templates for w in t.words}, key=lambda w: (frequency.get(w, 0), w))
+        self.order = {w: i for i, w in enumerate(every)}
+        self.prefix: dict[int, list[Template]] = {}
+        #: windows looked at, and those that each filter let pass
+        self.looked = self.long_enough = self.well_placed = 0
         for t in templates:
-            t.tokens = sorted(set(t.words), key=lambda w: (frequency.get(w, 0), w))
+            t.tokens = sorted({self.order[w] for w in t.words})
+            t.nth = {token: i for i, token in enumerate(t.tokens)}
             t.need = len(t.tokens) if t.exact else math.ceil(len(t.tokens) * top / below)
-            for i, w in enumerate(t.tokens[: len(t.tokens) - t.need + 1]):
-                self.prefix.setdefault(w, []).append((t, i))
-        self.window = max(len(t.words) for t in templates)
-
-    def candidates(self, block: set[bytes]) -> Iterator[Template]:
-        """Templates that pass all filters for a block of distinct words and share enough tokens with it."""
-        seen: set[int] = set()
-        for w in self.prefix.keys() & block:
-            for t, i in self.prefix[w]:
-                if id(t) in seen or len(block) < t.need:
-                    continue
-                first = next(k for k, x in enumerate(t.tokens) if x in block)
-                if first < i:  # an earlier token is common: it brings the template up
-                    continue
-                seen.add(id(t))
-                if len(t.tokens) - i >= t.need and sum(x in block for x in t.tokens[i:]) >= t.need:
-                    yield t
-
-    def blocks(self, words: list[bytes], hits: list[int]) -> Iterator[tuple[int, int]]:
-        """Windows of two template lengths, a length apart, that hold a prefix token."""
-        w = self.window
-        for k in sorted({h // w for h in hits} | {h // w - 1 for h in hits if h >= w}):
-            yield k * w, min(len(words), (k + 2) * w)
+            for token in t.tokens[: len(t.tokens) - t.need + 1]:
+                self.prefix.setdefault(token, []).append(t)
+
+    def common(self, t: Template, block: list[bytes]) -> int:
+        """Tokens that a block shares with a template, 0 if a filter tells that they aren't enough."""
+        distinct = set(block)
+        self.looked += 1
+        if len(distinct) < t.need:
+            return 0
+        self.long_enough += 1
+        # words that no template has come first in the order: they leave the block's last places to the others
+        tokens = sorted(self.order[w] for w in distinct if w in self.order)
+        j, i = next((j, t.nth[token]) for j, token in enumerate(tokens) if token in t.nth)
+        if min(len(t.tokens) - i, len(tokens) - j) < t.need:
+            return 0
+        self.well_placed += 1
+        return sum(token in t.nth for token in tokens[j:])
+
+    def windows(self, t: Template, hits: list[int], words: int) -> Iterator[int]:
+        """Starts of the windows that hold a token of the template's prefix."""
+        n, done = len(t.words), -1
+        for hit in hits:
+            first, last = max(done + 1, hit - n + 1), min(hit, max(0, words - n))
+            yield from range(first, last + 1)
+            done = max(done, last)
 
     def scan(self, words: list[bytes]) -> tuple[set[int], dict[str, float]]:
         """Starts of all phrases, and for each label the best containment found."""
         starts: set[int] = set()
         labels: dict[str, float] = {}
-        hits = [i for i, w in enumerate(words) if w in self.prefix]
-        for a, b in self.blocks(words, hits):
-            for t in self.candidates(set(words[a:b])):
-                n = len(t.words)
+        hits: dict[int, tuple[Template, list[int]]] = {}
+        for place, word in enumerate(words):
+            for t in self.prefix.get(self.order.get(word, -1), ()):
+                hits.setdefault(id(t), (t, []))[1].append(place)
+        for t, places in hits.values():
+            n = len(t.words)
+            for start in self.windows(t, places, len(words)):
+                block = words[start : start + n]
+                share = self.common(t, block) / len(t.tokens)
+                if share * len(t.tokens) < t.need - 1e-9:
+                    continue
                 if t.exact:
-                    at = [i for i in range(a, b - n + 1) if words[i] == t.words[0] and tuple(words[i : i + n]) == t.words]
-                    starts.update((i << 8) | PHRASE_NUMBER[t.label] for i in at)
-                    share = 1.0 if at else 0.0
-                else:
-                    share = max((len(set(t.words).intersection(words[i : i + n])) / len(t.tokens) for i in range(a, max(a + 1, b - n + 1))), default=0.0)
-                    share = share if share * len(t.tokens) >= t.need - 1e-9 else 0.0
-                if share:
-                    labels[t.label] = max(share, labels.get(t.label, 0.0))
+                    if tuple(block) != t.words:
+                        continue
+                    starts.add(start << 8 | PHRASE_NUMBER[t.label])
+                labels[t.label] = max(share, labels.get(t.label, 0.0))
         return starts, labels
 
 
@@ -141,7 +154,7 @@ def _scan(templates: list[Template], frequency: dict[bytes, int], threshold: flo
             out = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 words = _words(text)
-                starts, labels = index.scan(words) if not index.prefix.keys().isdisjoint(words) else (set(), {})
+                starts, labels = index.scan(words)
                 places = [s >> 8 for s in starts]
                 base = sorted({names[s & 255] for s in starts})
                 out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(labels)), max(labels.values(), default=0.0)))
@@ -169,3 +182,30 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, threshol
     counted = rows.select("text").mapInArrow(_frequencies(tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {bytes(r["token"]): r["n"] for r in counted.collect()}  # as many rows as the templates have tokens
     return rows.mapInArrow(_scan(templates, frequency, threshold), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def _sql_list(words: tuple[str, ...] | list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def scan_sql(texts: dict[str, str] | None = None, threshold: float = 0.8) -> str:
+    """DuckDB SQL for the rows of ``scan_licenses``: every window of every text is compared."""
+    top, below = ratio(threshold)
+    places, shares = [], []
+    for phrase, label in PHRASES.items():
+        n = len(phrase.split())
+        places.append(f"[{{'label': '{label}', 'at': i}} FOR i IN range(len(w) - {n - 1}) IF w[i + 1:i + {n}] = {_sql_list(phrase.split())}]")
+    for text, label in (TEMPLATES if texts is None else texts).items():
+        n, distinct = len(text.split()), sorted(set(text.split()))
+        need, tokens = math.ceil(len(distinct) * top / below), _sql_list(distinct)
+        best = f"list_max([len(list_intersect(w[i + 1:i + {n}], {tokens})) FOR i IN range(greatest(1, len(w) - {n - 1}))])"
+        shares.append(f"{{'label': '{label}', 'share': CASE WHEN len(list_intersect(w, {tokens})) >= {need} AND {best} >= {need} THEN {best} / {len(distinct)}::DOUBLE ELSE 0.0 END}}")
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n_words, flatten([{", ".join(places)}]) AS p, list_filter([{", ".join(shares)}], lambda x: x.share > 0) AS t FROM d)
+SELECT doc_id, n_words, len(p) AS n_base, list_min([x.at FOR x IN p]) AS first_word, list_max([x.at FOR x IN p]) AS last_word,
+       array_to_string(list_sort(list_distinct([x.label FOR x IN p])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct([x.label FOR x IN p] || [x.label FOR x IN t])), ',') AS labels,
+       coalesce(list_max([1.0::DOUBLE FOR x IN p] || [x.share FOR x IN t]), 0.0) AS score
+FROM f
+"""

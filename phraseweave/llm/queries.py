@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from phraseweave.llm.common import fold
 from phraseweave.llm.hilbert_search import nearest_neighbours
 from phraseweave.llm.imatch import fingerprint_edits
-from phraseweave.llm.jaccard import jaccard_join
+from phraseweave.llm.jaccard import jaccard_join, join_sql
 from phraseweave.llm.language_model import score_language_model
-from phraseweave.llm.license_scan import scan_licenses
+from phraseweave.llm.license_scan import scan_licenses, scan_sql
 from phraseweave.llm.packing import pack_documents
 from phraseweave.llm.quality import grade_quality
 from phraseweave.llm.sentencepiece_codec import digest_documents
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_warc_boundaries": DIGESTS_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": scan_sql(), "op2_warc_boundaries": DIGESTS_SQL, "op6_ngram_jaccard_join": join_sql()}

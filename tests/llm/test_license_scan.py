@@ -1,7 +1,7 @@
 import random
 import re
 
-from phraseweave.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+from phraseweave.llm.license_scan import PHRASES, TEMPLATES, TemplateIndex, scan_licenses, templates_of
 
 SCHEMA = "doc_id long, text string, labels string, score int"
 
@@ -46,5 +46,19 @@ def test_against_brute_force(spark):
         assert a[:7] == b[:7] and abs(a[7] - b[7]) < 1e-12, (a, b)
 
 
+def test_each_filter_prunes():
+    """Of the windows around words of a prefix, size and places leave few to be compared; those are the right ones."""
+    templates = templates_of({}, {"a b c d e f g h i j": "ten", "a b": "two", "a a a z z": "z"})
+    rng = random.Random(4)
+    words = [rng.choice("abcdefghijklmnopqrstuvwxyz").encode() if rng.random() < 0.5 else b"a" for _ in range(4000)]
+    words[2000:2000] = b"a b c d x f g h i j".split()
+    frequency = {c.encode(): n for n, c in enumerate("jihgfedcba")}
+    index = TemplateIndex(templates, frequency, 0.9)
+    got = index.scan(words)[1]
+    want = {t.label: max(len(set(t.words) & set(words[i : i + len(t.words)])) / len(set(t.words)) for i in range(len(words) - len(t.words) + 1)) for t in templates}
+    assert got == {k: v for k, v in want.items() if v >= 0.9} and "ten" in got
+    assert 3 * len(words) > index.looked > index.long_enough > index.well_placed > 0
+
+
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
