@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from phraseweave.functions.uri import resource_uri
+
 
 def paragraphs(text: Column) -> Column:
     return F.split(text, "\n")
@@ -25,6 +27,11 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.split(paragraph, "(?<=[.!?]) +"), lambda s: F.trim(s) != "")
 
 
+def sentences_of_lines(text: Column) -> Column:
+    """The sentences of each line of a text."""
+    return F.flatten(F.transform(F.split(text, "\n"), sentences))
+
+
 def tokens(sentence: Column) -> Column:
     return F.filter(F.split(sentence, " "), lambda t: t != "")
 
@@ -42,8 +49,10 @@ def cleaned(sentence: Column) -> Column:
 def match_starts(sequence: Column, pattern: Column) -> Column:
     """0-based starts of every place, overlapping ones too, where ``pattern`` stands in ``sequence``; an empty pattern has none."""
     last = F.size(sequence) - F.size(pattern)
-    places = F.when((F.size(pattern) > 0) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.slice(sequence, i + 1, F.size(pattern)) == pattern)
+    possible = (F.size(pattern) > 0) & (last >= 0) & F.array_contains(sequence, F.get(pattern, F.lit(0)))
+    places = F.when(possible, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    # one element is compared before a part of the sequence is copied
+    return F.filter(places, lambda i: (F.get(sequence, i) == F.get(pattern, F.lit(0))) & (F.slice(sequence, i + 1, F.size(pattern)) == pattern))
 
 
 def covered_indexes(sequence: Column, pattern: Column) -> Column:
@@ -76,7 +85,21 @@ def contained_links(tagged_tokens: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(tagged_tokens, lambda t: t["link"].isNotNull()), lambda t: t["link"]))
 
 
-def contains_any_link(tagged_tokens: Column) -> Column:
+def link_addresses(tagged_tokens: Column, resource: bool = False) -> Column:
+    """(link, addresses) of each distinct link: the 0-based indexes of its tokens. resource: links as identifiers of their entities."""
+    numbered = F.transform(tagged_tokens, lambda t, i: F.struct(t["link"].alias("link"), i.alias("at")))
+
+    def of(link: Column) -> Column:
+        at = F.transform(F.filter(numbered, lambda t: t["link"] == link), lambda t: t["at"])
+        return F.struct((resource_uri(link) if resource else link).alias("link"), at.alias("addresses"))
+
+    return F.transform(contained_links(tagged_tokens), of)
+
+
+def contains_any_link(tagged_tokens: Column, links: Column | None = None) -> Column:
+    """Whether a token is linked, or linked to one of the addresses."""
+    if links is not None:
+        return F.exists(tagged_tokens, lambda t: F.coalesce(F.array_contains(links, t["link"]), F.lit(False)))
     return F.exists(tagged_tokens, lambda t: t["link"].isNotNull())
 
 
@@ -96,7 +119,7 @@ def markup_consistent(text: Column, without_escaped: bool = False) -> Column:
 
 
 #: What must not be left in converted text. Fixed values.
-RESIDUES = ("[[", "]]", "{{", "}}", "'''", "<ref", "</ref", "File:", "Image:", "Category:", "<!--")
+RESIDUES = ("==", "{", "}", "[", "]", "<ref>", "<ref ", "</ref>", "\r", "<!--", "-->", "''")
 
 
 def residual_markup(html: Column) -> Column:
@@ -135,8 +158,15 @@ def strip_nested(text: str, opening: re.Pattern) -> str:
     return "".join(out) + text[at:]
 
 
-FILES, WEB = re.compile(r"\[\[(?:File|Image):"), re.compile(r"\[(?:https?:)?//")
-WIKI_LINK = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
+FILES, WEB = re.compile(r"\[\[(?:File|Image):"), re.compile(r"\[https?://")
+#: Grammar of wiki markup. Fixed values.
+END_MATTER = re.compile(r"== *Further reading *==|== *References *==")
+HEADLINE = re.compile(r"(?m)^(=+).+?\1")
+EMPTY_NOTE, NOTE = re.compile(r"<[rR]ef(?:[ \n][^>]*?)?/>"), re.compile(r"(?s)<[rR]ef(?:[ \n][^>]*?[^/])?>.*?</[rR]ef>")
+CATEGORY, BULLET, STRONG = re.compile(r"\[\[Category:[^\[\]]*\]\]"), re.compile(r"\* ?"), re.compile(r"'{2,3}")
+PARAGRAPH = re.compile(r"(?s)([^\n].+?)\n\n")
+WIKI_LINK, BRACKETS = re.compile(r"\[\[([^|\]]*)\|?(.*?)\]\]"), re.compile(r"\[(.*?)\]")
+MARKUP_LINK, PAGE_LINK = re.compile(r"\[\[(.+?)(?:\|(.+?))?\]\]"), re.compile(r'(href="/wiki/)(.*?)(")')
 
 
 def anchor(match: re.Match) -> str:
@@ -149,23 +179,17 @@ def wikitext_to_html(text: str | None) -> str:
 
     Only text before a blank line is a paragraph.
     """
-    text = strip_braces(text or "")
-    text = re.sub(r"(?s)<!--.*?-->", "", text)
-    for title in ("Further reading", "References"):
-        text = re.split(rf"==+ *{title} *==+", text, maxsplit=1)[0]
-    text = re.sub(r"(==+)[^=\n]+\1", "", text)
-    text = re.sub(r"<ref[^<>]*/>", "", text)
-    text = re.sub(r"(?s)<ref[^<>]*>.*?</ref>", "", text)
+    text = re.sub(r"(?s)<!--.*?-->", "", strip_braces(text or ""))
+    text = END_MATTER.split(text, maxsplit=1)[0]
+    text = HEADLINE.sub("\n", text)
+    text = NOTE.sub("", EMPTY_NOTE.sub("", text))
     text = strip_nested(strip_nested(text, FILES), WEB)
-    text = re.sub(r"\[\[Category:[^\]]*\]\]", "", text)
-    text = re.sub(r"(?m)^[*#:;]+ *", "", text)
-    text = re.sub(r"'{2,}", "", text)
-    *whole, rest = text.split("\n\n")
-    text = "".join(f"<p>{p}</p>\n" for p in whole) + rest
-    text = WIKI_LINK.sub(anchor, text)
-    text = re.sub(r"\[([^\[\]]*)\]", r"\1", text)
-    text = re.sub(r"<p>\s*</p>", "", text)
-    return re.sub(r"\n{2,}", "\n", text).strip()
+    for dropped in (CATEGORY, BULLET, STRONG):
+        text = dropped.sub("", text)
+    text = PARAGRAPH.sub(r"<p>\1</p>", text)
+    text = BRACKETS.sub(r"\1", WIKI_LINK.sub(anchor, text))
+    text = re.sub(r"<p>[ \n]*</p>", "", text)
+    return re.sub(r"</p>\n*<p>", "</p>\n\n<p>", text)
 
 
 class _Paragraphs(HTMLParser):
@@ -218,10 +242,6 @@ def html_paragraphs(html: str | None) -> list[dict]:
     return parser.found
 
 
-MARKUP_LINK = re.compile(r"\[\[(.+?)(?:\|(.+?))?\]\]")
-PAGE_LINK = re.compile(r'(href="/wiki/)(.*?)(")')
-
-
 def redirect_markup(text: str, targets: dict[str, str]) -> str:
     """Links to redirect names lead to their targets; the old name stays as the shown text unless it equals the target."""
 
@@ -270,3 +290,8 @@ TREEBANK = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/-]\d+)*|[^\w\s
 @pandas_udf(ArrayType(StringType()))
 def treebank_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: TREEBANK.findall(t or ""))
+
+
+@pandas_udf(ArrayType(ArrayType(StringType())))
+def treebank_of_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda every: [TREEBANK.findall(t or "") for t in every])

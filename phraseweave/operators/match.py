@@ -50,13 +50,14 @@ def match_score(subject: Column, object_: Column, position: Column, syntax: Colu
 def candidate_relations(entities: DataFrame, entity_type: DataFrame, relation_types: DataFrame, relations: DataFrame, allow_unknown: bool = True) -> DataFrame:
     """(entity, relation): relations that know a type of the entity; all of them for entities without types, where allowed.
 
-    ``relations`` is the list of learnt relations, a few dozen by configuration.
+    ``relations`` is the list of learnt relations. An entity without types gets each of them in a row, whatever their number.
     """
-    typed = entities.select("entity").distinct().join(entity_type, "entity")
-    found = typed.join(relation_types.select("relation", "type").distinct(), "type").select("entity", "relation").distinct()
+    distinct = entities.select("entity").distinct()
+    found = distinct.join(entity_type, "entity").join(relation_types.select("relation", "type").distinct(), "type").select("entity", "relation").distinct()
     if not allow_unknown:
         return found
-    untyped = entities.select("entity").distinct().join(entity_type, "entity", "left_anti").withColumn("every", F.array(*[F.lit(r["relation"]) for r in relations.select("relation").distinct().orderBy("relation").limit(10_000).collect()]).cast("array<string>"))
+    every = relations.select("relation").distinct().agg(F.collect_list("relation").alias("every"))  # one row
+    untyped = distinct.join(entity_type, "entity", "left_anti").crossJoin(F.broadcast(every))
     return found.union(untyped.select("entity", F.explode("every").alias("relation")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseweave.functions.uri import clean_name
+from phraseweave.session import stored
 
 SIDES = {"subject": "s", "object": "o"}
 
@@ -76,18 +77,28 @@ def united_types(driving: DataFrame, other: DataFrame, all_entities: bool = Fals
     return driving.unionByName(more).distinct()
 
 
-def ancestors(inheritance: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(type, ancestor) with each type its own ancestor, up to ``most_levels`` levels, so cycles end."""
+def ancestors(inheritance: DataFrame) -> DataFrame:
+    """(type, ancestor) with each type its own ancestor, until no level adds a pair; cycles end there too."""
     step = inheritance.select("type", "parent")
     reached = step.select("type").union(step.select("parent")).distinct().withColumn("ancestor", F.col("type"))
     found = reached
-    for _ in range(most_levels):
+    while True:
         up = step.select(F.col("type").alias("ancestor"), "parent")
-        reached = reached.join(up, "ancestor").select("type", F.col("parent").alias("ancestor")).join(found, ["type", "ancestor"], "left_anti").checkpoint()
+        further = reached.join(up, "ancestor").select("type", F.col("parent").alias("ancestor")).distinct()
+        reached = stored(further.join(found, ["type", "ancestor"], "left_anti"))
         if not reached.limit(1).count():
-            break
-        found = found.union(reached).checkpoint()
-    return found
+            return found
+        found = stored(found.union(reached))
+
+
+def total_facts(predicates: DataFrame) -> DataFrame:
+    return predicates.agg(F.sum("facts").alias("facts"))
+
+
+def types_of(entities: DataFrame, entity_type: DataFrame) -> DataFrame:
+    """(entity, types) of each distinct entity: its types, sorted; none: an empty array."""
+    known = entities.select("entity").distinct().join(entity_type.distinct(), "entity", "left")
+    return known.groupBy("entity").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
 def transitive_counts(counts: DataFrame, inheritance: DataFrame) -> DataFrame:
@@ -138,5 +149,10 @@ def independence(facts: DataFrame, entity_type: DataFrame, threshold: float = 1.
     return predicate_counts(facts).join(scored, "p", "left").select("p", "facts", "score")
 
 
+def independence_table(scores: DataFrame) -> DataFrame:
+    """(p, facts, score) as a report has them: the most dependent relations first, those without a score last."""
+    return scores.orderBy(F.desc_nulls_last("score"), F.desc("facts"), "p")
+
+
 def overall_independence(scores: DataFrame) -> DataFrame:
     return scores.filter("score is not null").agg(F.try_divide(F.sum(F.col("facts") * F.col("score")), F.sum("facts")).alias("score"))

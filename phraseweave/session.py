@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; without one a session on one machine gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="phraseweave-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from the shared folder: computed once, and not again when an executor is lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def local_session(name: str = "phraseweave", cpus: int | None = None, memory: str = "6g") -> SparkSession:

@@ -52,37 +52,54 @@ def redirect_links(articles: DataFrame, redirects: DataFrame, column: str = "wik
     """Articles whose links to redirect names (src) lead to their targets (dst), one hop.
 
     Each article takes along only the redirects that its own links name, found by a join on
-    the link names, so the redirect table may be of any size.
+    the link names, so the redirect table may be of any size. Of spellings that differ by spaces and
+    underscores the last line (line_no, if the table has it; else the largest target) counts.
     """
-    rule, take = (r'href="/wiki/(.*?)"', T.redirect_html) if html else (r"\[\[(.+?)(?:\|.+?)?\]\]", T.redirect_markup)
+    rule, take = (T.PAGE_LINK, T.redirect_html) if html else (T.MARKUP_LINK, T.redirect_markup)
 
     @pandas_udf("string")
     def change(text: pd.Series, names: pd.Series, targets: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else take(t, dict(zip(n, d, strict=True))) for t, n, d in zip(text, names, targets, strict=True)])
 
-    numbered = articles.withColumn("article_no", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("names", F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(rule), 1), lambda n: F.translate(n, "_", " "))))
-    table = redirects.select(F.translate("src", "_", " ").alias("name"), "dst").groupBy("name").agg(F.min("dst").alias("dst"))
-    title = [c for c in articles.columns if c != column]
-    links = numbered.select(*title, F.explode("names").alias("name")).distinct().join(table, "name")
-    found = links.groupBy(*title).agg(F.collect_list("name").alias("found"), F.collect_list("dst").alias("targets"))
-    joined = numbered.join(found, title, "left")
+    # an article is known by what it holds: rows that are equal in everything change alike
+    whole = F.struct(*(F.col(f"`{c}`") for c in articles.columns)).alias("article")
+    keyed = articles.select(whole, F.xxhash64(*(F.col(f"`{c}`") for c in articles.columns)).alias("article_key"))
+    text = F.col("article").getField(column)
+    name = F.regexp_extract_all(text, F.lit(rule.pattern), 2 if html else 1)
+    names = F.array_distinct(F.transform(name, lambda n: F.translate(n, "_", " ")))
+    last = F.max_by("dst", "line_no") if "line_no" in redirects.columns else F.max("dst")
+    table = redirects.withColumn("name", F.translate("src", "_", " ")).groupBy("name").agg(last.alias("dst"))
+    links = keyed.select("article_key", F.explode(names).alias("name")).distinct().join(table, "name")
+    found = links.groupBy("article_key").agg(F.collect_list("name").alias("found"), F.collect_list("dst").alias("targets"))
     empty = F.array().cast("array<string>")
-    return joined.select(*title, change(F.col(column), F.coalesce("found", empty), F.coalesce("targets", empty)).alias(column))
+    changed = change(text, F.coalesce("found", empty), F.coalesce("targets", empty))
+    return keyed.join(found, "article_key", "left").select(*(changed.alias(c) if c == column else F.col("article").getField(c).alias(c) for c in articles.columns))
 
 
-def tag_sentences(articles: DataFrame, tokenize: Callable[[Column], Column] = T.treebank_tokens, any_link: bool = True) -> DataFrame:
+def rewrite_dump(spark: SparkSession, path: str, redirects: DataFrame, target: str) -> None:
+    """Writes the dump at ``path`` again, block by block, with links to redirect names leading to their targets."""
+    blocks = redirect_links(read_blocks(spark, path), redirects, column="value")
+    blocks.write.mode("overwrite").option("lineSep", "\n\n").text(target)
+
+
+def tag_sentences(articles: DataFrame, tokenize: Callable[[Column], Column] = T.treebank_of_each, any_link: bool = True, sought: str | None = None) -> DataFrame:
     """Tagged sentences of (s, html): s, paragraph, sentence, relative_position, tokens (text, link).
 
-    Anchors of a paragraph mark every place where their tokens stand in its sentences.
-    Sentences without an anchor's text are left out, as are those without a tagged token (``any_link``).
+    Anchors of a paragraph mark every place where their tokens stand in its sentences; with ``sought``,
+    the name of an array column of ``articles``, only anchors to its addresses do. Sentences
+    without an anchor's text are left out, as are those without a tagged token (``any_link``). All of a
+    sentence is in its row, so rows with the same s stay apart. ``tokenize`` gives the tokens of
+    each text of an array column.
     """
-    parts = articles.select("s", T.paragraphs_of_html(F.col("html")).alias("parts"))
-    parts = parts.select("s", F.size("parts").alias("n"), F.posexplode("parts").alias("paragraph", "part"))
-    lines = parts.select("s", "paragraph", (F.col("paragraph") / F.col("n")).alias("relative_position"), F.col("part.anchors").alias("anchors"), F.posexplode(T.sentences(F.replace("part.text", F.lit("\n"), F.lit(" ")))).alias("sentence", "line"))
+    kept = [] if sought is None else [sought]
+    parts = articles.select("s", *kept, T.paragraphs_of_html(F.col("html")).alias("parts"))
+    parts = parts.select("s", *kept, F.size("parts").alias("n"), F.posexplode("parts").alias("paragraph", "part"))
+    anchors = F.col("part.anchors") if sought is None else F.filter("part.anchors", lambda a: F.array_contains(sought, a["href"]))
+    lines = parts.select("s", "paragraph", (F.col("paragraph") / F.col("n")).alias("relative_position"), anchors.alias("anchors"), F.posexplode(T.sentences_of_lines(F.col("part.text"))).alias("sentence", "line"))
     lines = lines.filter(T.contains_anchor_text(F.col("line"), F.transform("anchors", lambda a: a["text"])))
-    lines = lines.withColumn("words", tokenize(T.cleaned(F.col("line"))))
-    anchors = lines.select("s", "paragraph", "sentence", F.posexplode("anchors").alias("nth", "anchor")).withColumn("words", tokenize(F.col("anchor.text")))
-    anchors = anchors.groupBy("s", "paragraph", "sentence").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("anchor.href").alias("address"), "words"))).alias("links"))
-    out = lines.join(anchors, ["s", "paragraph", "sentence"]).select("s", "paragraph", "sentence", "relative_position", T.tagged(F.col("words"), F.col("links")).alias("tokens"))
+    # one call of the tokenizer for the sentence and its anchors, which no sentence holds a line break of
+    texts = F.concat(F.array(T.cleaned(F.col("line"))), F.transform("anchors", lambda a: a["text"]))
+    split = lines.withColumn("words", tokenize(texts))
+    links = F.transform("anchors", lambda a, i: F.struct(a["href"].alias("address"), F.get("words", i + 1).alias("words")))
+    out = split.select("s", "paragraph", "sentence", "relative_position", T.tagged(F.get("words", F.lit(0)), links).alias("tokens"))
     return out.filter(T.contains_any_link(F.col("tokens"))) if any_link else out

@@ -51,7 +51,7 @@ def test_cleaning_and_splitting(spark):
     assert one(spark, T.cleaned(F.lit("I  saw é a b[12] x\ncafé."))) == "I saw a caf."
     assert one(spark, T.sentences(F.lit("One. Two!  Three? four"))) == ["One.", "Two!", "Three?", "four"]
     assert one(spark, T.markup_consistent(F.lit("[[a]] <nowiki>[</nowiki>"), True)) and not one(spark, T.markup_consistent(F.lit("[[a]] <nowiki>[</nowiki>")))
-    assert one(spark, T.residual_markup(F.lit("a [[b '''c"))) == ["[[", "'''"]
+    assert one(spark, T.residual_markup(F.lit("a [[b '''c"))) == ["[", "''"]
     assert one(spark, T.treebank_tokens(F.lit("Don't go, 3.5 times!"))) == ["Don't", "go", ",", "3.5", "times", "!"]
 
 
