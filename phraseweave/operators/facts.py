@@ -29,17 +29,21 @@ def occurrences(facts: DataFrame, links: DataFrame, without_self: bool = False)
 
 
 def scored_facts(pairs: DataFrame, patterns: DataFrame, pattern_word: DataFrame, meta: DataFrame, candidates: DataFrame, subject_scores: DataFrame, object_scores: DataFrame, weights: DataFrame, threshold: float = 0.5, position_weight: float = 0.15, syntax_weight: float = 1.0, type_matching: bool = True) -> DataFrame:
-    """(pattern_id, s, p, o, sentence, score) of pairs (pattern_id, s, o, sentence, relative_position) whose match with a candidate relation reaches the threshold."""
+    """Facts of pairs (pattern_id, s, o, sentence, relative_position) whose match with a candidate relation reaches the threshold.
+
+    Returns pattern_id, s, p, o, sentence, subject_score, object_score, position, syntax, score. Type scores
+    (id, relation, score) are of pattern ids; a null one, like one that isn't there, takes no part.
+    """
     common = pattern.intersect(patterns, pattern_word, candidates).groupBy("pattern_id", "relation").agg(F.sum("n").alias("common"))
     own = patterns.groupBy("pattern_id").agg(F.sum("n").alias("own"))
     learnt = pattern_word.groupBy("relation").agg(F.sum("n").alias("learnt")).join(meta.withColumnRenamed("relative_position", "mean_position"), "relation").join(weights, "relation")
-    rows = candidates.join(own, "pattern_id").join(common, ["pattern_id", "relation"], "left").join(F.broadcast(learnt), "relation").join(pairs, "pattern_id")  # learnt: a row for each relation
-    rows = rows.join(subject_scores.select(F.col("id").alias("pattern_id"), "relation", F.col("score").alias("subject_score")), ["pattern_id", "relation"], "left")
-    rows = rows.join(object_scores.select(F.col("id").alias("pattern_id"), "relation", F.col("score").alias("object_score")), ["pattern_id", "relation"], "left")
-    syntax = match.syntax_score(F.coalesce("common", F.lit(0)), F.col("own"), F.lit(1), F.col("learnt"), F.col("covered_sentences"))
-    score = match.match_score(F.col("subject_score"), F.col("object_score"), match.position_score(F.col("relative_position"), F.col("mean_position")), syntax, F.col("subject_weight"), F.col("object_weight"), position_weight, syntax_weight, type_matching)
-    out = rows.withColumn("score", score).filter(F.col("score") >= threshold).filter(~F.contains("o", F.lit("redlink=1")))
-    return out.select("pattern_id", "s", F.col("relation").alias("p"), "o", "sentence", "score")
+    rows = candidates.join(own, "pattern_id").join(common, ["pattern_id", "relation"], "left").join(learnt, "relation").join(pairs, "pattern_id")
+    for side, scores in (("subject", subject_scores), ("object", object_scores)):
+        rows = rows.join(scores.select(F.col("id").alias("pattern_id"), "relation", F.col("score").alias(f"{side}_score")), ["pattern_id", "relation"], "left")
+    parts = {"syntax": match.syntax_score(F.coalesce("common", F.lit(0)), F.col("own"), F.lit(1), F.col("learnt"), F.col("covered_sentences")), "position": match.position_score(F.col("relative_position"), F.col("mean_position"))}
+    score = match.match_score(F.col("subject_score"), F.col("object_score"), F.col("position"), F.col("syntax"), F.col("subject_weight"), F.col("object_weight"), position_weight, syntax_weight, type_matching)
+    out = rows.withColumns(parts).withColumn("score", score).filter(F.col("score") >= threshold).filter(~F.contains("o", F.lit("redlink=1")))
+    return out.select("pattern_id", "s", F.col("relation").alias("p"), "o", "sentence", "subject_score", "object_score", "position", "syntax", "score")
 
 
 def by_score(facts: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from phraseweave.functions import text as T
 from phraseweave.functions import uri as U
 from phraseweave.operators import facts as facts_of
 from phraseweave.operators import match, pattern, types
-from phraseweave.plans import synth
+from phraseweave.config import Config
+from phraseweave.plans import jobs, synth
+from phraseweave.session import stored
 from phraseweave.sources import rdf
 from phraseweave.sources.articles import redirect_links
 from phraseweave.sources.tables import last_wins
@@ -296,16 +298,10 @@ def occurrence_pairs(spark, d):
 
 
 def _inputs(spark, d):
-    """Sentence patterns of every linked word, the rows they stand for, and the parses."""
-    short = synth.short_sentences(spark, d)
-    parse = synth.parses(short)
-    heads = pattern.head_tokens(parse, synth.link_tokens(parse))
-    rows = heads.join(short.select("sentence_id", "relative_position", "words"), "sentence_id")
-    rows = rows.withColumn("pattern_id", F.xxhash64("sentence_id", "link"))
-    label = lambda w: F.element_at(F.array(*map(F.lit, synth.LABELS)), (F.length(w) % 5 + 1).cast("int"))
-    arrays = rows.select("pattern_id", "words", F.transform("words", lambda w, i: F.floor((i + 1) / 2).cast("int")).alias("heads"), F.transform("words", label).alias("labels"), F.col("idx").alias("start"))
-    meta = rows.select("pattern_id", "sentence_id", "link", synth.relation_of_link().alias("relation"), "relative_position")
-    return pattern.sentence_patterns(arrays), meta
+    """Sentence patterns of every linked word, and the rows they stand for."""
+    objects = synth.linked_objects(spark, d)
+    meta = objects.select("pattern_id", "sentence_id", "link", synth.relation_of_link().alias("relation"), "relative_position")
+    return pattern.sentence_patterns(objects), meta
 
 
 @query(f"WITH {synth.HEADS} SELECT * FROM heads")
@@ -356,48 +352,75 @@ def word_inversion(spark, d):
     return pattern.words_by_count(_merged(spark, d)[0].filter("n >= 5")).select("relation", joined(), "n", "words")
 
 
-@query("SELECT 'x' AS relation, '' AS path, '' AS what WHERE false")
+@query(
+    f"WITH RECURSIVE {synth.MERGED}, damaged AS (SELECT relation, path, word FROM pattern_word WHERE length(word) % 4 <> 1 UNION ALL SELECT relation, path, word FROM pattern_word WHERE length(word) % 4 = 2 AND n > 3), paths AS (SELECT DISTINCT relation, path FROM damaged)"
+    " SELECT relation, path, 'repeated' AS what FROM damaged GROUP BY relation, path, word HAVING count(*) > 1"
+    " UNION ALL SELECT relation, path, 'orphan' FROM paths p WHERE contains(path, '/') AND NOT EXISTS (SELECT 1 FROM paths q WHERE q.relation = p.relation AND q.path = regexp_replace(p.path, '/[^/]*$', ''))"
+)
 def tree_violations(spark, d):
-    return pattern.violations(_merged(spark, d)[0]).select("relation", joined(), "what")
+    words = _merged(spark, d)[0]
+    return pattern.violations(words.filter("length(word) % 4 <> 1").union(words.filter("length(word) % 4 = 2 and n > 3"))).select("relation", joined(), "what")
 
 
 INTERSECTED = f"""{CLEANED}, learnt AS (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.relation = s.relation AND d.path = s.path)),
   common AS (SELECT p.sentence_id, p.link, l.relation, p.path, p.word, least(p.n, l.n) AS n FROM patterns p JOIN learnt l USING (path, word)),
   there AS (SELECT DISTINCT sentence_id, link, relation, path FROM common),
   gone AS (SELECT DISTINCT sentence_id, link, relation, path FROM (SELECT *, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM there) x WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.sentence_id = x.sentence_id AND t.link = x.link AND t.relation = x.relation AND t.path = x.pre)),
-  inter AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sentence_id = c.sentence_id AND g.link = c.link AND g.relation = c.relation AND g.path = c.path)),
-  syntax AS (SELECT sentence_id, link, relation, least(1.0, power(sum(n) / least(1, covered_sentences), 2) / own / (words / covered_sentences)) AS syntax
-    FROM inter JOIN (SELECT sentence_id, link, sum(n) AS own FROM patterns GROUP BY ALL) USING (sentence_id, link) JOIN (SELECT relation, sum(n) AS words FROM learnt GROUP BY ALL) USING (relation) JOIN meta USING (relation) GROUP BY sentence_id, link, relation, covered_sentences, own, words)"""
-
-
-def _matched(spark, d):
-    patterns, meta = (x.checkpoint() for x in _inputs(spark, d))  # read many times below
-    learnt = pattern.clean_words(pattern.merge(patterns, meta.select("pattern_id", "relation")), 5).checkpoint()
-    every = F.array(*(F.lit(f"r{i}") for i in range(3)))
-    candidates = meta.select("pattern_id").distinct().select("pattern_id", F.explode(every).alias("relation"))
-    return patterns, meta, learnt, candidates
+  inter AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sentence_id = c.sentence_id AND g.link = c.link AND g.relation = c.relation AND g.path = c.path))"""
 
 
 @query(f"WITH RECURSIVE {INTERSECTED} SELECT sentence_id, link, relation, path, word, n FROM inter")
 def pattern_intersect(spark, d):
-    patterns, meta, learnt, candidates = _matched(spark, d)
-    both = pattern.intersect(patterns, learnt, candidates)
+    patterns, meta = _inputs(spark, d)
+    patterns, meta = stored(patterns), stored(meta)
+    learnt = stored(pattern.clean_words(pattern.merge(patterns, meta.select("pattern_id", "relation")), 5))
+    every = F.array(*(F.lit(f"r{i}") for i in range(3)))
+    both = pattern.intersect(patterns, learnt, meta.select("pattern_id", F.explode(every).alias("relation")))
     return both.join(meta.select("pattern_id", "sentence_id", "link"), "pattern_id").select("sentence_id", "link", "relation", joined(), "word", "n")
 
 
-@query(f"WITH RECURSIVE {INTERSECTED} SELECT sentence_id, link, relation, round(power(1 - abs(sentences.relative_position - meta.relative_position), 2), 6) AS position, round(syntax, 6) AS syntax, round((0.15 * power(1 - abs(sentences.relative_position - meta.relative_position), 2) + syntax) / 1.15, 6) AS score FROM syntax JOIN sentences USING (sentence_id) JOIN meta USING (relation) WHERE (0.15 * power(1 - abs(sentences.relative_position - meta.relative_position), 2) + syntax) / 1.15 >= 0.11")
+CORPUS_JOB = Config(match_threshold=0.25)
+
+
+def _corpus(spark, d):
+    """What was learnt from documents with even numbers, the objects of the others, and everyone's types."""
+    objects = stored(synth.linked_objects(spark, d))
+    types_of_all = stored(synth.corpus_types(objects, synth.table(spark, d, "documents")))
+    half = objects.filter("doc_id % 2 = 0")
+    relation_of = half.select("pattern_id", synth.relation_of_link().alias("relation"))
+    facts = half.join(relation_of, "pattern_id").select(F.col("pattern_id").alias("line_no"), "s", F.col("relation").alias("p"), F.concat(F.lit("x/"), F.substring("link", 7, 1000)).alias("o"))
+    learnt = jobs.learn_patterns(half, relation_of, types_of_all, CORPUS_JOB) | jobs.learn_types(facts, types_of_all, CORPUS_JOB)
+    return {name: stored(df) for name, df in learnt.items()}, objects.filter("doc_id % 2 = 1"), types_of_all
+
+
+def _extracted(spark, d):
+    learnt, objects, types_of_all = _corpus(spark, d)
+    return jobs.score_objects(objects, learnt, types_of_all, CORPUS_JOB).join(objects.select("pattern_id", "sentence_id", "link"), "pattern_id"), objects
+
+
+@query(
+    f"WITH RECURSIVE {synth.SPLIT} SELECT sentence_id, link, relation, round(subject_score, 6) AS subject_score, round(object_score, 6) AS object_score, round(position, 6) AS position, round(syntax, 6) AS syntax, round(score, 6) AS score FROM extracted"
+)
 def extract_facts(spark, d):
-    patterns, meta, learnt, candidates = _matched(spark, d)
-    none = candidates.select(F.col("pattern_id").alias("id"), "relation", F.lit(None).cast("double").alias("score"))
-    pairs = meta.select("pattern_id", F.lit("").alias("s"), F.col("link").alias("o"), F.col("sentence_id").alias("sentence"), "relative_position")
-    weights = spark.createDataFrame([(f"r{i}", 0.9, 0.6) for i in range(3)], "relation string, subject_weight double, object_weight double")
-    means = pattern.merge_meta(meta)
-    found = facts_of.scored_facts(pairs, patterns, learnt, means, candidates.join(pattern.intersect(patterns, learnt, candidates).select("pattern_id", "relation").distinct(), ["pattern_id", "relation"]), none, none, weights, threshold=0.11)
-    common = pattern.intersect(patterns, learnt, candidates).groupBy("pattern_id", "relation").agg(F.sum("n").alias("common"))
-    own, words = patterns.groupBy("pattern_id").agg(F.sum("n").alias("own")), pattern.total_words(learnt)
-    rows = found.join(meta.select("pattern_id", "relative_position"), "pattern_id").withColumnRenamed("p", "relation").join(common, ["pattern_id", "relation"]).join(own, "pattern_id").join(words, "relation").join(means.withColumnRenamed("relative_position", "mean_position"), "relation")
-    syntax = match.syntax_score(F.col("common"), F.col("own"), F.lit(1), F.col("words"), F.col("covered_sentences"))
-    return rows.select(F.col("sentence").alias("sentence_id"), F.col("o").alias("link"), "relation", r6(match.position_score(F.col("relative_position"), F.col("mean_position")), "position"), r6(syntax, "syntax"), r6("score", "score"))
+    found, _ = _extracted(spark, d)
+    return found.select("sentence_id", "link", F.col("p").alias("relation"), *(r6(c, c) for c in ("subject_score", "object_score", "position", "syntax", "score")))
+
+
+@query(
+    f"WITH RECURSIVE {synth.SPLIT}, truth AS (SELECT DISTINCT relation AS p, doc_id, link FROM objects WHERE doc_id % 2 = 1), k AS (SELECT p, count(*) AS known FROM truth GROUP BY p), c AS (SELECT e.relation AS p, count_if(t.p IS NOT NULL) AS r, count_if(t.p IS NULL) AS w FROM extracted e LEFT JOIN truth t ON t.p = e.relation AND t.doc_id = e.doc_id AND t.link = e.link GROUP BY ALL)"
+    " SELECT p, known, coalesce(r, 0)::BIGINT AS \"right\", coalesce(w, 0)::BIGINT AS wrong, round(CASE WHEN r + w > 0 THEN r / (r + w) END, 6) AS precision, round(coalesce(r, 0) / known, 6) AS recall FROM k LEFT JOIN c USING (p)"
+)
+def evaluate_extraction(spark, d):
+    found, objects = _extracted(spark, d)
+    truth = objects.select("s", synth.relation_of_link().alias("p"), U.resource_uri(F.col("link")).alias("o"))
+    return facts_of.evaluation(found.select("s", "p", "o"), truth).select("p", "known", "right", "wrong", r6("precision", "precision"), r6("recall", "recall"))
+
+
+@query(f"WITH RECURSIVE {synth.SPLIT} SELECT relation, side, type, sum(n)::BIGINT AS n FROM (SELECT p AS relation, side, type, n, max(n) OVER (PARTITION BY p, side) AS top FROM counts) WHERE n >= 0.3 * top GROUP BY ALL")
+def pattern_types(spark, d):
+    objects = synth.linked_objects(spark, d).filter("doc_id % 2 = 0")
+    relation_of = objects.select("pattern_id", synth.relation_of_link().alias("relation"))
+    return pattern.clean_types(jobs.object_types(objects, relation_of, synth.corpus_types(synth.linked_objects(spark, d), synth.table(spark, d, "documents"))), 0.3)
 
 
 @query(f"WITH {synth.KEPT}, e AS (SELECT DISTINCT replace(split_part(s, '/', -1), '_', ' ') AS entity, p FROM facts), x AS (SELECT e.entity, e.p, t.type, pr.probability FROM e LEFT JOIN entity_type t USING (entity) LEFT JOIN probs pr ON pr.p = e.p AND pr.type = t.type AND pr.side = 'subject') SELECT entity AS id, p AS relation, round(coalesce(sum(probability), 0) / count(type), 6) AS score FROM x GROUP BY ALL")
@@ -439,11 +462,19 @@ def evaluate(spark, d):
     return out.select("p", "known", "right", "wrong", *(r6(c, c) for c in ("precision", "recall", "f")))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {CLEANED}, learnt AS (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.relation = s.relation AND d.path = s.path)), g AS (SELECT relation, path, n, string_agg(word, ', ' ORDER BY word) AS words FROM learnt GROUP BY ALL),"
+    " l AS (SELECT relation, path, string_agg(n || ': ' || words, '; ' ORDER BY n DESC) AS label FROM g GROUP BY ALL)"
+    " SELECT relation, '\"' || path || '\" [label=\"' || replace(label, '\"', chr(39)) || '\"]; \"' || CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END || '\" -> \"' || path || '\" [label=\"' || split_part(path, '/', -1) || '\"];' AS line FROM l"
+)
 def pattern_graph(spark, d):
     return pattern.graph_lines(pattern.clean_words(_merged(spark, d)[0], 5))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {synth.MERGED}, w AS (SELECT * FROM pattern_word WHERE path <> ''), t AS (SELECT relation, path, max(n) AS top FROM w GROUP BY ALL), pre AS (SELECT relation, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS up FROM t),"
+    " low AS (SELECT pre.relation, pre.path, min(top) AS low FROM pre JOIN t ON t.relation = pre.relation AND t.path = pre.up GROUP BY ALL), v AS (SELECT w.*, least(n, low) AS level FROM w JOIN low USING (relation, path)), cuts AS (SELECT v.relation, c.t FROM (SELECT DISTINCT relation, unnest(range(2, 400)) AS t FROM v) c JOIN v USING (relation) WHERE n >= c.t AND level >= c.t - 1 GROUP BY v.relation, c.t"
+    " HAVING sum(n) >= 0.4 * (SELECT sum(n) FROM v x WHERE x.relation = v.relation)), last AS (SELECT relation, max(t) AS t FROM cuts GROUP BY relation) SELECT relation, path, word, n FROM v LEFT JOIN last USING (relation) WHERE t IS NULL OR level >= t"
+)
 def pattern_clean_dynamic(spark, d):
     return pattern.clean_words(_merged(spark, d)[0], 0.4).select("relation", joined(), "word", "n")

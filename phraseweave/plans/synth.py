@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseweave.functions import text as T
+from phraseweave.operators import pattern
 
 KB = "http://kb.example/"
 LABELS = ("nsubj", "dobj", "compound", "auxpass", "amod")
@@ -52,8 +53,8 @@ def lines_of_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of English documents: sentence_id, doc_id, relative_position, sentence, words."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", T.paragraphs(F.col("text")).alias("ps"))
+    """Sentences of all documents: sentence_id, doc_id, relative_position, sentence, words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("ps"))
     paras = docs.select("doc_id", F.size("ps").alias("n"), F.posexplode("ps").alias("par", "ptext"))
     sents = paras.select("doc_id", "par", (F.col("par") / F.col("n")).alias("relative_position"), F.posexplode(F.split("ptext", "(?<=[.!?]) +")).alias("sent", "sentence")).filter(F.trim("sentence") != "")
     sentence_id: Column = F.col("doc_id") * 100_000_000 + F.col("par") * 10_000 + F.col("sent")
@@ -81,6 +82,30 @@ def relation_of_link() -> Column:
     return F.concat(F.lit("r"), (F.length("link") % 3).cast("string"))
 
 
+def with_pseudo_trees(rows: DataFrame) -> DataFrame:
+    """The same trees as arrays, for rows with words."""
+    label = lambda w: F.element_at(F.array(*map(F.lit, LABELS)), (F.length(w) % 5 + 1).cast("int"))
+    return rows.withColumns({"heads": F.transform("words", lambda w, i: F.floor((i + 1) / 2).cast("int")), "labels": F.transform("words", label)})
+
+
+def linked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked words of all short sentences, as the jobs have them: a document is the subject, a link the object."""
+    rows = with_pseudo_trees(short_sentences(spark, sf_dir)).withColumn("named", F.filter(F.array_distinct("words"), lambda w: w.rlike("^[A-Za-z]{9,}$")))
+    at = lambda word: F.filter(F.transform("words", lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
+    found = rows.select("sentence_id", "doc_id", "sentence", "relative_position", "words", "heads", "labels", F.explode("named").alias("word"))
+    start = pattern.main_address(F.col("heads"), F.col("labels"), at(F.col("word")))
+    subject = F.concat(F.lit(f"{KB}resource/Doc_"), "doc_id")
+    return found.select(F.xxhash64("sentence_id", "word").alias("pattern_id"), "sentence_id", subject.alias("s"), F.concat(F.lit("/wiki/"), "word").alias("link"), "sentence", "relative_position", "words", "heads", "labels", start.alias("start"), "doc_id")
+
+
+def corpus_types(objects: DataFrame, docs: DataFrame) -> DataFrame:
+    """Types of documents and linked words; some of either have none."""
+    of_docs = docs.filter("doc_id % 5 <> 0").select(F.concat(F.lit("Doc "), "doc_id").alias("entity"), F.explode(F.array("source", F.concat(F.lit("L_"), "lang"))).alias("type"))
+    words = objects.select(F.substring("link", 7, 1000).alias("entity")).distinct().filter("length(entity) % 11 <> 0")
+    of_words = words.select("entity", F.explode(F.array(F.concat(F.lit("N"), F.length("entity") % 4), F.concat(F.lit("F"), F.lower(F.left("entity", F.lit(1)))))).alias("type"))
+    return of_docs.union(of_words).filter("type is not null").distinct()
+
+
 #: The same inputs as common table expressions for DuckDB.
 FACTS = f"""facts AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS line_no,
   '{KB}resource/Customer_' || o_custkey AS s, '{KB}ontology/' || replace(o_orderpriority[strpos(o_orderpriority, '-') + 1:], ' ', '_') AS p,
@@ -89,14 +114,16 @@ ENTITY_TYPE = """entity_type AS (SELECT DISTINCT entity, type FROM (
   SELECT 'Customer ' || c_custkey AS entity, unnest([c_mktsegment, n_name, r_name]) AS type FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'Part ' || p_partkey, unnest([p_brand, p_type] || string_split(p_name, ' ')) FROM part))"""
 SIDES = """sides AS (SELECT p, 'subject' AS side, replace(split_part(s, '/', -1), '_', ' ') AS entity FROM facts UNION ALL SELECT p, 'object', replace(split_part(o, '/', -1), '_', ' ') FROM facts)"""
-COUNTS = f"""{FACTS}, {ENTITY_TYPE}, {SIDES}, predicates AS (SELECT p, count(*) AS facts FROM facts GROUP BY p),
+TYPE_COUNTS = f"""{SIDES}, predicates AS (SELECT p, count(*) AS facts FROM facts GROUP BY p),
   counts AS (SELECT p, side, type, count(*) AS n FROM sides JOIN entity_type USING (entity) GROUP BY ALL)"""
-KEPT = f"""{COUNTS}, kept AS (SELECT p, side, type, n, facts FROM counts JOIN predicates USING (p) WHERE n >= 0.05 * facts),
+COUNTS = f"{FACTS}, {ENTITY_TYPE}, {TYPE_COUNTS}"
+TYPE_KEPT = """kept AS (SELECT p, side, type, n, facts FROM counts JOIN predicates USING (p) WHERE n >= 0.05 * facts),
   probs AS (SELECT *, (n / facts) / sum(n / facts) OVER (PARTITION BY side, type) AS probability FROM kept),
   weights AS (SELECT p, predicates.facts, coalesce(sum(CASE WHEN side = 'subject' THEN n * probability END) / sum(CASE WHEN side = 'subject' THEN n END), 0) AS subject_weight,
     coalesce(sum(CASE WHEN side = 'object' THEN n * probability END) / sum(CASE WHEN side = 'object' THEN n END), 0) AS object_weight
     FROM predicates LEFT JOIN probs USING (p) GROUP BY p, predicates.facts)"""
-SENTENCES = r"""para AS (SELECT doc_id, len(ps) AS n, unnest(ps) AS ptext, generate_subscripts(ps, 1) - 1 AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents WHERE lang = 'en')),
+KEPT = f"{COUNTS}, {TYPE_KEPT}"
+SENTENCES = r"""para AS (SELECT doc_id, len(ps) AS n, unnest(ps) AS ptext, generate_subscripts(ps, 1) - 1 AS par FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)),
   sents AS (SELECT doc_id, n, par, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT *, string_split(regexp_replace(ptext, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) AS ss FROM para)),
   sentences AS (SELECT doc_id * 100000000 + par * 10000 + sent AS sentence_id, doc_id, par / n AS relative_position, sentence, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS words FROM sents WHERE trim(sentence, ' ') <> '')"""
 PARSES = f"""{SENTENCES}, short AS (SELECT * FROM sentences WHERE len(words) BETWEEN 1 AND 50),
@@ -112,3 +139,29 @@ PATTERNS = f"""{HEADS}, edges AS (SELECT sentence_id, head AS a, idx AS b, depre
   patterns AS (SELECT w.sentence_id, w.link, w.path, p.word, count(*) AS n FROM walk w JOIN parse p ON p.sentence_id = w.sentence_id AND p.idx = w.node GROUP BY ALL)"""
 MERGED = f"""{PATTERNS}, pattern_word AS (SELECT 'r' || length(link) % 3 AS relation, path, word, sum(n)::BIGINT AS n FROM patterns GROUP BY ALL),
   meta AS (SELECT 'r' || length(link) % 3 AS relation, count(*) AS covered_sentences, avg(relative_position) AS relative_position FROM heads JOIN sentences USING (sentence_id) GROUP BY ALL)"""
+#: Learning from documents with even numbers, extracting from the others. Needs WITH RECURSIVE.
+SPLIT = f"""{PATTERNS}, objects AS (SELECT h.sentence_id, h.link, h.link[7:] AS word, doc_id, relative_position, 'r' || length(h.link) % 3 AS relation FROM heads h JOIN sentences USING (sentence_id)),
+  facts AS (SELECT relation AS p, 'x/Doc_' || doc_id AS s, 'x/' || word AS o FROM objects WHERE doc_id % 2 = 0),
+  entity_type AS (SELECT DISTINCT entity, type FROM (SELECT 'Doc ' || doc_id AS entity, unnest([source, 'L_' || lang]) AS type FROM documents WHERE doc_id % 5 <> 0
+    UNION ALL SELECT word, unnest(['N' || length(word) % 4, 'F' || lower(word[1])]) FROM objects WHERE length(word) % 11 <> 0) WHERE type IS NOT NULL),
+  {TYPE_COUNTS}, {TYPE_KEPT},
+  meta AS (SELECT relation, count(*) AS covered_sentences, avg(relative_position) AS mean_position FROM objects WHERE doc_id % 2 = 0 GROUP BY relation),
+  pattern_word AS (SELECT relation, path, p.word, sum(n)::BIGINT AS n FROM patterns p JOIN objects USING (sentence_id, link) WHERE doc_id % 2 = 0 GROUP BY ALL),
+  strong AS (SELECT * FROM pattern_word WHERE path <> '' AND n >= 2),
+  live AS (SELECT DISTINCT relation, path FROM strong),
+  dead AS (SELECT DISTINCT relation, path FROM (SELECT relation, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM live) x WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.relation = x.relation AND l.path = x.pre)),
+  learnt AS (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.relation = s.relation AND d.path = s.path)),
+  tried AS (SELECT sentence_id, link, word, 'Doc ' || doc_id AS subject, doc_id, relative_position, m.relation, covered_sentences, mean_position FROM objects o CROSS JOIN meta m WHERE doc_id % 2 = 1),
+  ends AS (SELECT DISTINCT subject AS entity, relation, 'subject' AS side FROM tried UNION SELECT DISTINCT word, relation, 'object' FROM tried),
+  known AS (SELECT e.entity, e.relation, e.side, count(t.type) AS types, count(c.type) AS fitting, sum(pr.probability) AS found FROM ends e LEFT JOIN entity_type t USING (entity)
+    LEFT JOIN counts c ON c.p = e.relation AND c.side = e.side AND c.type = t.type LEFT JOIN probs pr ON pr.p = e.relation AND pr.side = e.side AND pr.type = t.type GROUP BY ALL),
+  scored AS (SELECT *, CASE WHEN types > 0 THEN coalesce(found, 0) / types END AS score FROM known WHERE types = 0 OR fitting > 0),
+  wanted AS (SELECT t.*, a.score AS subject_score, b.score AS object_score FROM tried t JOIN scored a ON a.entity = subject AND a.relation = t.relation AND a.side = 'subject' JOIN scored b ON b.entity = t.word AND b.relation = t.relation AND b.side = 'object'),
+  common AS (SELECT p.sentence_id, p.link, w.relation, p.path, least(p.n, l.n) AS n FROM wanted w JOIN patterns p USING (sentence_id, link) JOIN learnt l ON l.relation = w.relation AND l.path = p.path AND l.word = p.word),
+  there AS (SELECT DISTINCT sentence_id, link, relation, path FROM common),
+  gone AS (SELECT DISTINCT sentence_id, link, relation, path FROM (SELECT *, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS pre FROM there) x WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.sentence_id = x.sentence_id AND t.link = x.link AND t.relation = x.relation AND t.path = x.pre)),
+  inter AS (SELECT sentence_id, link, relation, sum(n) AS common FROM common c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sentence_id = c.sentence_id AND g.link = c.link AND g.relation = c.relation AND g.path = c.path) GROUP BY ALL),
+  syntax AS (SELECT w.*, least(1.0, power(coalesce(common, 0), 2) / own / (words / covered_sentences)) AS syntax, power(1 - abs(relative_position - mean_position), 2) AS position, subject_weight, object_weight
+    FROM wanted w JOIN (SELECT sentence_id, link, sum(n) AS own FROM patterns GROUP BY ALL) USING (sentence_id, link) JOIN (SELECT relation, sum(n) AS words FROM learnt GROUP BY ALL) USING (relation) LEFT JOIN inter USING (sentence_id, link, relation) JOIN weights ON weights.p = relation),
+  extracted AS (SELECT * FROM (SELECT *, CASE WHEN subject_score = 0 OR object_score = 0 THEN 0 ELSE (coalesce(subject_score * subject_weight, 0) + coalesce(object_score * object_weight, 0) + 0.15 * position + syntax)
+    / (CASE WHEN subject_score IS NULL THEN 0 ELSE subject_weight END + CASE WHEN object_score IS NULL THEN 0 ELSE object_weight END + 1.15) END AS score FROM syntax) WHERE score >= 0.25)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,21 @@ def scan_triples(spark: SparkSession, path: str) -> DataFrame:
     return parse_triples(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")))
 
 
-def from_random_line(facts: DataFrame, seed: int) -> DataFrame:
-    """Facts behind a random one of the first half of the lines."""
-    middle = facts.agg(((F.max("line_no") / 2).cast("long")).alias("half"))
-    start = middle.select((F.col("half") * F.rand(seed)).cast("long").alias("start"))
+def from_share(facts: DataFrame, share: float) -> DataFrame:
+    """Facts behind the line at a share of the first half of the lines."""
+    start = facts.agg((F.max("line_no") / 2 * share).cast("long").alias("start"))
     return facts.crossJoin(F.broadcast(start)).filter("line_no > start").drop("start")  # one row
 
 
+def from_random_line(facts: DataFrame, seed: int | None = None) -> DataFrame:
+    """Facts behind a random one of the first half of the lines."""
+    return from_share(facts, random.Random(seed).random())
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
 def cleaned_names(facts: DataFrame) -> DataFrame:
     return facts.withColumns({c: clean_name(F.col(c)) for c in ("s", "p", "o")})
 
@@ -77,13 +87,10 @@ def training_facts(facts: DataFrame, test_subjects: DataFrame, relations: list[s
     return first_per_predicate(facts.join(test_subjects.select("s"), "s", "left_anti"), predicates_limit, facts_limit)
 
 
-def test_facts(facts: DataFrame, relations: list[str], per_relation: int) -> DataFrame:
-    """The first facts of each relation, and no more in all than that times the relations."""
-    if relations:
-        facts = facts.filter(F.col("p").isin(relations))
+def test_facts(facts: DataFrame, per_relation: int) -> DataFrame:
+    """The first facts of each relation, which are no more in all than that times the relations."""
     order = Window.partitionBy("p").orderBy("line_no")
-    capped = facts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_relation).drop("n")
-    return first_by_line(capped, per_relation * len(relations)) if relations else capped
+    return facts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_relation).drop("n")
 
 
 def first_entities(facts: DataFrame, limit: int) -> DataFrame:
