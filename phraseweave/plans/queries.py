@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseweave.config import Config
 from phraseweave.functions import text as T
 from phraseweave.functions import uri as U
 from phraseweave.operators import facts as facts_of
 from phraseweave.operators import match, pattern, types
-from phraseweave.config import Config
-from phraseweave.plans import jobs, synth
+from phraseweave.plans import file_queries, jobs, synth, text_queries  # noqa: F401 - they register theirs
+from phraseweave.plans.registry import ORACLES, QUERIES, joined, query, r6, whole  # noqa: F401 - the entry reads the first two
 from phraseweave.session import stored
 from phraseweave.sources import rdf
 from phraseweave.sources.articles import redirect_links
 from phraseweave.sources.tables import last_wins
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c: Column | str, name: str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
-def joined(c: str = "path") -> Column:
-    return F.array_join(c, "/").alias(c)
-
-
-def whole(n: Column | str, name: str) -> Column:
-    return (F.col(n) if isinstance(n, str) else n).cast("bigint").alias(name)
-
-
 @query(
     f"WITH {synth.FACTS}, lines AS (SELECT '<' || s || CASE WHEN line_no % 7 = 1 THEN '__x' ELSE '' END || '> <' || p || '> ' || CASE WHEN line_no % 7 = 2 THEN '\"5\"^^' ELSE '' END || '<' || o || '>' || CASE WHEN line_no % 7 = 3 THEN ' <g>' ELSE '' END || ' .' AS value FROM facts),"
     " g AS (SELECT regexp_extract_all(value, '<([^>]+)>', 1) AS g FROM lines) SELECT g[1] AS s, g[2] AS p, g[3] AS o FROM g WHERE len(g) = 3 AND NOT contains(g[1], '__')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, where: str):
+    """The file system and the path of an address."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the session's JVM ends."""
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    files, path = hadoop_path(spark, where)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return where
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from the shared folder: computed once, and not again when an executor is lost."""
     shared_folder(df.sparkSession)

@@ -13,11 +13,18 @@ from phraseweave.functions import text as T
 from phraseweave.functions.uri import clean_name
 
 
+def unescaped(xml: Column) -> Column:
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        xml = F.replace(xml, F.lit(name), F.lit(sign))
+    return xml
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(title, wikitext) of the pages of an XML dump; of equal titles the last."""
-    schema = "title string, revision struct<text: struct<_VALUE: string>>, ns long, id long"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    pages = pages.select("title", F.col("revision.text._VALUE").alias("wikitext"), F.monotonically_increasing_id().alias("line_no"))
+    """(title, wikitext) of the pages of an XML dump; of equal titles the last. Files of any size are read in splits, cut behind pages."""
+    cut = spark.read.option("lineSep", "</page>").text(path).select(F.monotonically_increasing_id().alias("line_no"), F.substring_index("value", "<page>", -1).alias("page"), F.contains("value", F.lit("<page>")).alias("whole"))
+    # a text without content may be written as an empty element
+    text = F.regexp_extract("page", r"(?s)<text(?:\s[^>]*[^/>])?>(.*?)</text>", 1)
+    pages = cut.filter("whole").select("line_no", unescaped(F.regexp_extract("page", r"(?s)<title>(.*?)</title>", 1)).alias("title"), unescaped(text).alias("wikitext"))
     return pages.groupBy("title").agg(F.max_by("wikitext", "line_no").alias("wikitext"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def read_redirects(spark: SparkSession, path: str) -> DataFrame:
 def read_types_index(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(entity, type) of lines with an entity and its types joined by underscores."""
     lines = read_delimited(spark, path, ["entity", "types"])
-    lines = lines if limit is None else lines.limit(limit)
+    if limit is not None:
+        lines = lines.orderBy(F.monotonically_increasing_id()).limit(limit)  # the first lines
     return lines.select("entity", F.explode(F.split("types", "_")).alias("type"))
 
 
@@ -39,22 +42,53 @@ def last_wins(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, "line_no").alias(value))
 
 
-class Store:
-    """A folder of Parquet tables, each read when it is asked for."""
+class Store(Mapping):
+    """A folder of Parquet tables, each read when it is asked for; ``tables`` names those that it may have, none: any."""
+
+    tables: tuple[str, ...] = ()
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def save(self, **tables: DataFrame) -> None:
+        if unknown := sorted(set(tables) - set(self.tables)) if self.tables else []:
+            raise ValueError(f"no tables of this store: {', '.join(unknown)}")
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name.startswith("_") or self.tables and name not in self.tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def __getitem__(self, name: str) -> DataFrame:
+        if self.tables and name not in self.tables:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
+class PatternStore(Store):
+    """What was learnt of relations in text."""
+
+    tables = ("pattern_word", "pattern_type", "pattern_meta", "training_resource")
+
+
+class TypeStore(Store):
+    """What was learnt of the types of relations."""
+
+    tables = ("type_pattern", "type_pattern_type")
+
+
+def write_page_index(pages: DataFrame, path: str) -> None:
+    """title#position lines, sorted by title over all files."""
+    write_delimited(pages.select("title", F.col("position").cast("string").alias("position")).orderBy("title"), path)
+
 
-#: Tables of the stores of learnt relations and of learnt types. Fixed values.
-PATTERN_TABLES = ("pattern_word", "pattern_type", "pattern_meta", "training_resource")
-TYPE_TABLES = ("type_pattern", "type_pattern_type")
+def read_page_index(spark: SparkSession, path: str) -> DataFrame:
+    return read_delimited(spark, path, ["title", "position"]).withColumn("position", F.col("position").cast("long"))
