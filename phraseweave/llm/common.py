@@ -7,8 +7,6 @@ a chunk or block, once written, never changes when a task is tried again.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -19,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseweave.session import hadoop_path, scratch_folder
+
 #: Words of a text: lower-cased ASCII letters, digits and every character outside ASCII.
 WORD_BYTES = bytes(
     c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256)
@@ -36,29 +36,24 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="phraseweave-")
-            spark.sparkContext.setCheckpointDir(root)
-        self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        files, path = self._at(self.path)
-        files.mkdirs(path)
-        files.deleteOnExit(path)  # results are read from it until then
-
-    def _at(self, where: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def save(self, df: DataFrame, table: str) -> DataFrame:
+        self.spark, self.path = spark, scratch_folder(spark, name)
+
+    def save(self, df: DataFrame, table: str, small: bool = False) -> DataFrame:
+        """The rows from a stored table. small: rows are few bytes of work each, so files are made as large as they should be, not as many as there are cores."""
         where = f"{self.path}/{table}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(where)
+        name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(name, None)
+        if small:
+            self.spark.conf.set(name, "false")
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(where)
+        finally:
+            if small:
+                self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, table: str) -> None:
-        files, path = self._at(f"{self.path}/{table}")
+        files, path = hadoop_path(self.spark, f"{self.path}/{table}")
         files.delete(path, True)
 
 

@@ -17,35 +17,27 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
     a node with very many edges doesn't gather in one task. No edges: no rows. Self-loops give
     a component of their own.
     """
-    edges = space.save(edges.select("src", "dst").distinct(), f"{name}-edges-0")
-    labels = space.save(
-        edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node")),
-        f"{name}-labels-0",
-    )
-    turn = 0
+    edges = space.save(edges.select("src", "dst").distinct(), f"{name}-edges-0", small=True)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    jumps: list[DataFrame] = []
     while True:
-        turn += 1
         live = edges.filter("src <> dst")
         if not live.limit(1).count():
             break
         both = live.union(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        parent = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-        parent = space.save(parent.select("node", F.least("node", "low").alias("up")), f"{name}-parents-{turn}")
+        parent = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("up"))
         again = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = space.save(parent.join(again, "up").select("node", "top"), f"{name}-jumps-{turn}")
+        jump = space.save(parent.join(again, "up").select("node", "top"), f"{name}-jumps-{len(jumps)}", small=True)
         left = jump.select(F.col("node").alias("src"), F.col("top").alias("a"))
         right = jump.select(F.col("node").alias("dst"), F.col("top").alias("b"))
         moved = live.join(left, "src").join(right, "dst").filter("a <> b")
         moved = moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        edges = space.save(moved, f"{name}-edges-{turn}")
-        up = jump.select(F.col("node").alias("component"), "top")
-        labels = space.save(
-            labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")),
-            f"{name}-labels-{turn}",
-        )
-        for old in ("edges", "labels"):
-            space.drop(f"{name}-{old}-{turn - 1}")
-        for old in ("parents", "jumps"):
-            space.drop(f"{name}-{old}-{turn}")
+        jumps.append(jump)
+        edges = space.save(moved, f"{name}-edges-{len(jumps)}", small=True)
+        if len(jumps) > 1:
+            space.drop(f"{name}-edges-{len(jumps) - 1}")
+    labels = nodes.withColumn("component", F.col("node"))
+    for jump in jumps:  # where each node's root went, round by round
+        labels = labels.join(jump.select(F.col("node").alias("component"), "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     least = labels.groupBy("component").agg(F.min("node").alias("least"))
     return labels.join(least, "component").select("node", F.col("least").alias("component"))

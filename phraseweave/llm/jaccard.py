@@ -106,12 +106,23 @@ def _sign(n: int, trees: int, seed: int):
             sets = shingle_sets(part.column("text"), n)
             full = [len(s) > 0 for s in sets]
             keys = pa.array(np.array([set_key(s) for s in sets], U64).view(np.int64), mask=~np.array(full))
-            paths = pa.array([signature(s, trees, seed).view(np.int64) if f else None for s, f in zip(sets, full, strict=True)], pa.list_(pa.int64()))
+            paths = pa.array([signature(s, trees, seed).tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), keys, paths], ["doc_id", "tag", "key", "paths"])
 
     return run
 
 
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tree of a node's signature."""
+    for batch in batches:
+        for part in slices([batch], "paths", 1 << 20):
+            paths = np.frombuffer(b"".join(part.column("paths").to_pylist()), np.int64).reshape(part.num_rows, -1, 2)
+            trees = paths.shape[1]
+            flat = paths.reshape(-1, 2)
+            columns = [np.tile(np.arange(trees, dtype=np.int32), part.num_rows), np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]), np.repeat(part.column("key").to_numpy(), trees)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "high", "low", "key"])
+
+
 def common_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Leading levels that paths (two words a row) share."""
     differ = a ^ b
@@ -181,10 +192,9 @@ def _across_tasks(bounds: list, least: int) -> list[tuple]:
 def candidate_edges(nodes: DataFrame, trees: int, threshold: float, target_recall: float, space: Workspace) -> DataFrame:
     """(src, dst) that join the nodes (key, paths) of every run of the forest, at the depths to which its prefixes are shortened."""
     least = max(1, matched_depth(threshold, trees, DEEPEST, target_recall) - 2)
-    each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("paths", 2 * t).alias("high"), F.get("paths", 2 * t + 1).alias("low")))
-    leaves = nodes.select("key", F.inline(each))
+    leaves = nodes.select("key", "paths").mapInArrow(_leaves, "tree int, high long, low long, key long")
     order = ["tree", "high", "low", "key"]
-    leaves = leaves.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    leaves = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
     found = space.save(leaves.mapInArrow(_neighbours(least), NEIGHBOURS), "neighbours")
     bounds = found.filter("part is not null").select("part", "tree", "high", "low", "key").collect()  # two rows for each task of the sort
     across = nodes.sparkSession.createDataFrame(_across_tasks(bounds, least), "tree int, levels int, key long, heads array<long>")
@@ -342,14 +352,14 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     space = Workspace(docs.sparkSession, "jaccard")
     top, below = ratio(threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
-    signed_rows = space.save(rows.mapInArrow(_sign(words, trees, seed), "doc_id long, tag long, key long, paths array<long>"), "signed")
+    signed_rows = space.save(rows.mapInArrow(_sign(words, trees, seed), "doc_id long, tag long, key long, paths binary"), "signed")
     # the row whose text stands for the set
     model = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "tag")).alias("model")
     nodes = signed_rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), model, F.first("paths").alias("paths"))
     nodes = space.save(nodes, "nodes")
-    candidates = space.save(connected_components(candidate_edges(nodes, trees, threshold, target_recall, space), space, "candidates"), "candidates")
+    candidates = space.save(connected_components(candidate_edges(nodes, trees, threshold, target_recall, space), space, "candidates"), "candidates", small=True)
 
-    wanted = space.save(candidates.join(nodes.drop("paths"), candidates["node"] == nodes["key"]).select("key", "model", "copies", "component"), "wanted")
+    wanted = space.save(candidates.join(nodes.drop("paths"), candidates["node"] == nodes["key"]).select("key", "model", "copies", "component"), "wanted", small=True)
     # one plan at every size: the texts are shuffled once, whether or not the other side could be broadcast
     told = wanted.select("key", F.col("model.id").alias("id"), F.col("model.tag").alias("model_tag")).hint("merge")
     texts = rows.join(told, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["tag"] == F.col("model_tag"))).select("key", "text")
@@ -360,13 +370,13 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     found = "key long, links long, root long"
     links = blocks.mapInArrow(_within(top, below), found)
     links = space.save(links.union(_block_pairs(blocks, top, below).mapInArrow(_across(top, below), found)), "links")
-    groups = space.save(connected_components(links.select(F.col("key").alias("src"), F.col("root").alias("dst")), space, "groups"), "groups")
+    groups = space.save(connected_components(links.select(F.col("key").alias("src"), F.col("root").alias("dst")), space, "groups"), "groups", small=True)
     per_node = links.groupBy("key").agg(F.sum("links").alias("links"))
     class_of = groups.join(nodes.select("key", "copy_id"), groups["node"] == nodes["key"]).groupBy("component").agg(F.min("copy_id").alias("class_id"))
     classed = groups.join(class_of, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "class_id")
     whole = nodes.select("key", "copy_id", "copies").join(per_node, "key", "left").join(classed, "key", "left")
     whole = whole.select("key", "copies", "copy_id", F.coalesce("label", "key").alias("label"), F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    whole = space.save(whole, "whole")
+    whole = space.save(whole, "whole", small=True)
     bound = max(1.0, HOT_SHARE * signed_rows.count())
     # at most 1 / HOT_SHARE keys have so many rows
     known = signed_rows.select("doc_id", "tag", "key").join(F.broadcast(whole.filter(F.col("copies") > bound)), "key", "left")

@@ -139,8 +139,8 @@ def test_measured_recall_of_the_forest(spark):
         shared = 160 if i < pairs else 60
         every = rng.integers(0, 2**64, 2 * 180 - shared, dtype=np.uint64)
         for j, own in enumerate((every[:180], every[180 - shared :])):
-            rows.append((2 * i + j, signature(np.sort(own), 32, 7).view(np.int64).tolist()))
-    nodes = spark.createDataFrame(rows, "key long, paths array<long>").repartition(11)
+            rows.append((2 * i + j, bytearray(signature(np.sort(own), 32, 7).tobytes())))
+    nodes = spark.createDataFrame(rows, "key long, paths binary").repartition(11)
     for target in (0.9999, 0.99, 0.9):
         edges = candidate_edges(nodes, 32, 0.8, target, Workspace(spark, "test")).distinct().collect()
         met = {e.src // 2 for e in edges if e.src // 2 == e.dst // 2}
