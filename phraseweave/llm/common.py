@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseweave.session import hadoop_path, scratch_folder
+from phraseweave.session import hadoop_path, scratch_folder, stored
 
 #: Words of a text: lower-cased ASCII letters, digits and every character outside ASCII.
 WORD_BYTES = bytes(
@@ -38,19 +38,20 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, scratch_folder(spark, name)
 
-    def save(self, df: DataFrame, table: str, small: bool = False) -> DataFrame:
-        """The rows from a stored table. small: rows are few bytes of work each, so files are made as large as they should be, not as many as there are cores."""
+    def save(self, df: DataFrame, table: str) -> DataFrame:
         where = f"{self.path}/{table}"
+        df.write.option("compression", "zstd").mode("overwrite").parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows from a checkpoint, for tables of a few numbers a row: no folder and no footer for each task."""
         name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
         before = self.spark.conf.get(name, None)
-        if small:
-            self.spark.conf.set(name, "false")
+        self.spark.conf.set(name, "false")
         try:
-            df.write.option("compression", "zstd").mode("overwrite").parquet(where)
+            return stored(df)
         finally:
-            if small:
-                self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
-        return self.spark.read.schema(df.schema).parquet(where)
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def drop(self, table: str) -> None:
         files, path = hadoop_path(self.spark, f"{self.path}/{table}")
@@ -62,7 +63,7 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about ``most`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phraseweave.llm.common import Workspace
 
 
-def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+def connected_components(edges: DataFrame, space: Workspace) -> DataFrame:
     """(node, component) for every node of ``edges`` (src long, dst long); component is its smallest node.
 
     Each round every node hooks onto its smallest neighbour, pointers are doubled, and edges
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
     a node with very many edges doesn't gather in one task. No edges: no rows. Self-loops give
     a component of their own.
     """
-    edges = space.save(edges.select("src", "dst").distinct(), f"{name}-edges-0", small=True)
+    edges = space.keep(edges.select("src", "dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     jumps: list[DataFrame] = []
     while True:
@@ -27,15 +27,13 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
         both = live.union(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         parent = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("up"))
         again = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = space.save(parent.join(again, "up").select("node", "top"), f"{name}-jumps-{len(jumps)}", small=True)
+        jump = space.keep(parent.join(again, "up").select("node", "top"))
         left = jump.select(F.col("node").alias("src"), F.col("top").alias("a"))
         right = jump.select(F.col("node").alias("dst"), F.col("top").alias("b"))
         moved = live.join(left, "src").join(right, "dst").filter("a <> b")
         moved = moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
         jumps.append(jump)
-        edges = space.save(moved, f"{name}-edges-{len(jumps)}", small=True)
-        if len(jumps) > 1:
-            space.drop(f"{name}-edges-{len(jumps) - 1}")
+        edges = space.keep(moved)
     labels = nodes.withColumn("component", F.col("node"))
     for jump in jumps:  # where each node's root went, round by round
         labels = labels.join(jump.select(F.col("node").alias("component"), "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))

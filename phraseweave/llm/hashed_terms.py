@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from phraseweave.llm.common import WORD_BYTES, Workspace, encode, hash_words, slices, split_words
 
+#: Entries of a sample that are worked on at once.
+PIECE = 1 << 19
 #: Terms are hashed to so many bits: collisions between a text's terms and telling ones stay rare.
 BITS = 31
 #: Reads texts, gives rows (ascending) and hashed terms of their distinct terms.
@@ -86,9 +88,10 @@ def incidence(texts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.nda
     flat = np.concatenate([*texts, np.zeros(0, np.int32)])
     every, count = np.unique(flat, return_counts=True)
     terms = every[count >= least]
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    rows, columns = select(row, flat, terms)
-    return terms.astype(np.int64), rows, columns.astype(np.int32)
+    del flat
+    found = [select(np.full(len(t), i, np.int32), t, terms) for i, t in enumerate(texts)]
+    rows, columns = (np.concatenate([*(f[k].astype(np.int32) for f in found), np.zeros(0, np.int32)]) for k in (0, 1))
+    return terms.astype(np.int64), rows, columns
 
 
 def least_texts(share: float, least_gain: float) -> float:
@@ -120,10 +123,15 @@ def pair_directions(error: np.ndarray, spread: np.ndarray, rows: np.ndarray, col
         return v, np.zeros(0)
     for _ in range(turns):
         for f in range(factors):
-            own = v[columns, f]
-            others = np.bincount(rows, weights=own, minlength=len(error))[rows] - own
-            slope = np.bincount(columns, weights=error[rows] * others, minlength=m)
-            chance = np.bincount(columns, weights=spread[rows] * others * others, minlength=m)
+            # in pieces, as the driver's memory is small
+            pieces = [(rows[i : i + PIECE], columns[i : i + PIECE]) for i in range(0, len(rows), PIECE)]
+            whole, slope, chance = np.zeros(len(error)), np.zeros(m), np.zeros(m)
+            for r, c in pieces:
+                whole += np.bincount(r, weights=v[c, f], minlength=len(error))
+            for r, c in pieces:
+                others = whole[r] - v[c, f]
+                slope += np.bincount(c, weights=error[r] * others, minlength=m)
+                chance += np.bincount(c, weights=spread[r] * others * others, minlength=m)
             steep[:, f] = slope / np.sqrt(np.maximum(chance, 1e-12))
         v = steep * steep * steep
         if factors > 1 and m >= factors:

@@ -357,9 +357,9 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     model = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "tag")).alias("model")
     nodes = signed_rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), model, F.first("paths").alias("paths"))
     nodes = space.save(nodes, "nodes")
-    candidates = space.save(connected_components(candidate_edges(nodes, trees, threshold, target_recall, space), space, "candidates"), "candidates", small=True)
+    candidates = connected_components(candidate_edges(nodes, trees, threshold, target_recall, space), space)
 
-    wanted = space.save(candidates.join(nodes.drop("paths"), candidates["node"] == nodes["key"]).select("key", "model", "copies", "component"), "wanted", small=True)
+    wanted = space.keep(candidates.join(nodes.drop("paths"), candidates["node"] == nodes["key"]).select("key", "model", "copies", "component"))
     # one plan at every size: the texts are shuffled once, whether or not the other side could be broadcast
     told = wanted.select("key", F.col("model.id").alias("id"), F.col("model.tag").alias("model_tag")).hint("merge")
     texts = rows.join(told, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["tag"] == F.col("model_tag"))).select("key", "text")
@@ -369,14 +369,14 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     blocks = space.save(placed.mapInArrow(_pack, "component long, block long, low long, high long, keys binary, copies binary, sizes binary, shingles binary"), "blocks")
     found = "key long, links long, root long"
     links = blocks.mapInArrow(_within(top, below), found)
-    links = space.save(links.union(_block_pairs(blocks, top, below).mapInArrow(_across(top, below), found)), "links")
-    groups = space.save(connected_components(links.select(F.col("key").alias("src"), F.col("root").alias("dst")), space, "groups"), "groups", small=True)
+    links = space.keep(links.union(_block_pairs(blocks, top, below).mapInArrow(_across(top, below), found)))
+    groups = space.keep(connected_components(links.select(F.col("key").alias("src"), F.col("root").alias("dst")), space))
     per_node = links.groupBy("key").agg(F.sum("links").alias("links"))
     class_of = groups.join(nodes.select("key", "copy_id"), groups["node"] == nodes["key"]).groupBy("component").agg(F.min("copy_id").alias("class_id"))
     classed = groups.join(class_of, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "class_id")
     whole = nodes.select("key", "copy_id", "copies").join(per_node, "key", "left").join(classed, "key", "left")
     whole = whole.select("key", "copies", "copy_id", F.coalesce("label", "key").alias("label"), F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    whole = space.save(whole, "whole", small=True)
+    whole = space.keep(whole)
     bound = max(1.0, HOT_SHARE * signed_rows.count())
     # at most 1 / HOT_SHARE keys have so many rows
     known = signed_rows.select("doc_id", "tag", "key").join(F.broadcast(whole.filter(F.col("copies") > bound)), "key", "left")
