@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents pass quality, toxicity, near-duplicate and packing stages in turn."""
+"""The corpus pipeline: documents pass quality, toxicity, near-duplicate and packing stages in turn.
+
+A stage judges rows by their texts alone: null ids and repeated rows stay or go as their texts say, other
+columns are carried along whatever their names, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +18,31 @@ from phraseweave.llm.toxicity import drop_toxic
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose text the highest quality grade is likelier than not."""
+    """Documents of whose text the highest quality grade is likelier than not, or as likely.
+
+    Null and empty texts go by the share of grades among the labels; without two grades to learn from all stay.
+    """
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text isn't predicted toxic."""
+    """Documents whose text isn't predicted toxic (a score of 0.5 is).
+
+    Null and empty texts go by the share of toxic labels; without labels all stay.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word runs, Jaccard 0.8 or more)."""
+    """One document of each group of near duplicates (five-word runs, Jaccard 0.8 or more): the smallest id's.
+
+    Ties go by the text's hash, then by the other columns. Null and empty texts, and those without words, all stay.
+    """
     return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left as sequences of at most 1024 tokens."""
+    """All documents that are left as sequences of at most 1024 tokens; null and empty texts are their end alone."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
