@@ -120,3 +120,10 @@ def tagged_articles(spark, d):
     tagged = articles.tag_sentences(subjects, tokenize=lambda texts: F.transform(texts, T.tokens))
     shown = F.array_join(F.transform("tokens", lambda t: F.when(t["link"] == "/wiki/b", F.concat(F.lit("["), t["text"], F.lit("]"))).otherwise(t["text"])), " ")
     return tagged.select("s", "paragraph", "sentence", "relative_position", shown.alias("tokens"))
+
+
+@query("SELECT 'Part ' || p_partkey AS title, p_partkey % 2 = 0 AS consistent, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ']' END || CASE WHEN p_partkey % 3 = 0 THEN '-->' ELSE '' END AS residues FROM part")
+def article_warnings(spark, d):
+    text = F.concat(F.lit("{x}" + 3 * "'"), "p_name", F.lit(3 * "'"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("]"), F.when(F.col("p_partkey") % 3 == 0, " -->").otherwise(""))
+    pages = synth.table(spark, d, "part").select(F.concat(F.lit("Part "), "p_partkey").alias("title"), text.alias("wikitext"))
+    return articles.article_warnings(pages).select("title", "consistent", F.array_join("residues", "").alias("residues"))

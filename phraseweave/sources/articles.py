@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,6 +46,28 @@ def articles_of(subjects: DataFrame, pages: DataFrame) -> DataFrame:
     return named.join(pages, "title", "left").select("s", F.coalesce(T.html_of_wikitext(F.col("wikitext")), F.lit("")).alias("html"))
 
 
+def article_warnings(pages: DataFrame) -> DataFrame:
+    """(title, consistent, residues) of pages (title, wikitext): whether brackets and braces pair, and markup that the conversion leaves."""
+    return pages.select("title", T.markup_consistent(F.coalesce("wikitext", F.lit(""))).alias("consistent"), T.residual_markup(T.html_of_wikitext(F.col("wikitext"))).alias("residues"))
+
+
+def fetch_html(url: str, timeout: float = 30.0, tries: int = 3) -> str:
+    """The page at an address; empty where there is none. For ``fetched``, on executors that may use the network."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as answer:
+                return answer.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            if e.code in (404, 410):
+                return ""
+            if not left:
+                raise
+        except OSError:
+            if not left:
+                raise
+    return ""
+
+
 def fetched(subjects: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
     """(s, html) from a function of the article's address; the caller's function does the network access."""
 

@@ -1,6 +1,8 @@
 """Cases of trees, candidates, hierarchies, redirects and markup that went wrong once, or need a brute-force check."""
 
+import http.server
 import random
+import threading
 from collections import defaultdict
 
 import pytest
@@ -116,3 +118,25 @@ def test_steps_of_the_conversion(markup, html):
 def test_residues(spark):
     got = spark.createDataFrame([("a == {b} <ref>c''",), ("clean",), ("[x] <ref name",)], "h string").select(T.residual_markup(F.col("h")).alias("r")).collect()
     assert [r.r for r in got] == [["==", "{", "}", "<ref>", "''"], [], ["[", "]", "<ref "]]
+
+
+def test_pages_are_fetched():
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if "none" in self.path else 200)
+            self.end_headers()
+            if "none" not in self.path:
+                self.wfile.write("<p>é</p>".encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert articles.fetch_html(f"{at}/wiki/A") == "<p>é</p>" and articles.fetch_html(f"{at}/none") == ""
+    finally:
+        server.shutdown()
+    with pytest.raises(OSError):
+        articles.fetch_html("http://127.0.0.1:1/", timeout=1, tries=2)
