@@ -48,7 +48,8 @@ def articles_of(subjects: DataFrame, pages: DataFrame) -> DataFrame:
 
 def article_warnings(pages: DataFrame) -> DataFrame:
     """(title, consistent, residues) of pages (title, wikitext): whether brackets and braces pair, and markup that the conversion leaves."""
-    return pages.select("title", T.markup_consistent(F.coalesce("wikitext", F.lit(""))).alias("consistent"), T.residual_markup(T.html_of_wikitext(F.col("wikitext"))).alias("residues"))
+    converted = pages.select("title", T.markup_consistent(F.coalesce("wikitext", F.lit(""))).alias("consistent"), T.html_of_wikitext(F.col("wikitext")).alias("html"))
+    return converted.select("title", "consistent", T.residual_markup(F.col("html")).alias("residues"))
 
 
 def fetch_html(url: str, timeout: float = 30.0, tries: int = 3) -> str:
