@@ -282,7 +282,7 @@ def _score(order: int, tokens: int, vocabulary: int, texts: int, mus: tuple[floa
 
 
 def score_language_model(
-    docs: DataFrame, train: Column, order: int = 2, mus: tuple[float, ...] = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0), chunk_bytes: int = 8 << 20
+    docs: DataFrame, train: Column, order: int = 2, mus: tuple[float, ...] = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0), chunk_bytes: int = 4 << 20
 ) -> DataFrame:
     """Log10 probability of every whole text under a model trained on the rows where ``train`` holds.
 

@@ -48,7 +48,7 @@ def op2_warc_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_language_model(docs, fold(docs["doc_id"], 7) != 2)
+    return score_language_model(docs, fold(docs["doc_id"], 7) != 2, order=3)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
