@@ -78,17 +78,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Colu
     found = found.groupBy("nth", "label", "size", "terms").count().drop("count").orderBy("nth", "size", F.xxhash64("terms")).limit(most)
     held = found.withColumn("held", F.sum("size").over(upto)).filter(F.col("held") <= most_held).select("label", "terms").toArrow()
     # copies say the same once
-    order = sorted(dict(zip(held.column("terms").to_pylist(), held.column("label").to_pylist(), strict=True)).items(), key=lambda x: (x[1], x[0]))
-    order = [(label, terms) for terms, label in order]
-    return [y for y, _ in order], [np.frombuffer(t, np.int32) for _, t in order]
+    label_of = dict(zip(held.column("terms").to_pylist(), held.column("label").to_pylist(), strict=True))
+    del held
+    order = sorted(label_of, key=lambda terms: (label_of[terms], terms))
+    return [label_of[t] for t in order], [np.frombuffer(t, np.int32) for t in order]
 
 
 def incidence(texts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms that at least ``least`` texts have, sorted; and rows and columns of the texts' terms among them."""
-    flat = np.concatenate([*texts, np.zeros(0, np.int32)])
-    every, count = np.unique(flat, return_counts=True)
-    terms = every[count >= least]
-    del flat
+    flat = np.sort(np.concatenate([*texts, np.zeros(0, np.int32)]))
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    terms = flat[first[np.diff(np.append(first, len(flat))) >= least]]
+    del flat, first
     found = [select(np.full(len(t), i, np.int32), t, terms) for i, t in enumerate(texts)]
     rows, columns = (np.concatenate([*(f[k].astype(np.int32) for f in found), np.zeros(0, np.int32)]) for k in (0, 1))
     return terms.astype(np.int64), rows, columns
@@ -102,7 +103,12 @@ def least_texts(share: float, least_gain: float) -> float:
 
 def gains(y: np.ndarray, chance: np.ndarray, rows: np.ndarray, columns: np.ndarray, m: int) -> np.ndarray:
     """Log-likelihood ratio of each term: its texts' positive labels against those that the model expects (chance of each text)."""
-    n, positive, expected = np.bincount(columns, minlength=m).astype(float), np.bincount(columns, weights=y[rows], minlength=m), np.bincount(columns, weights=chance[rows], minlength=m)
+    n, positive, expected = np.zeros(m), np.zeros(m), np.zeros(m)
+    for i in range(0, len(rows), PIECE):  # in pieces, as the driver's memory is small
+        r, c = rows[i : i + PIECE], columns[i : i + PIECE]
+        n += np.bincount(c, minlength=m)
+        positive += np.bincount(c, weights=y[r], minlength=m)
+        expected += np.bincount(c, weights=chance[r], minlength=m)
 
     def part(seen: np.ndarray, thought: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(thought, 1e-300)), 0)
@@ -123,7 +129,6 @@ def pair_directions(error: np.ndarray, spread: np.ndarray, rows: np.ndarray, col
         return v, np.zeros(0)
     for _ in range(turns):
         for f in range(factors):
-            # in pieces, as the driver's memory is small
             pieces = [(rows[i : i + PIECE], columns[i : i + PIECE]) for i in range(0, len(rows), PIECE)]
             whole, slope, chance = np.zeros(len(error)), np.zeros(m), np.zeros(m)
             for r, c in pieces:

@@ -58,7 +58,8 @@ class FactorizationMachine:
             chance = logistic(logit)
             new = (gains(y, chance, rows, columns, m) >= LEAST_GAIN) & ~active
             if not turn:
-                positive, every = np.bincount(columns, weights=y[rows], minlength=m), np.bincount(columns, minlength=m)
+                positive, every = np.zeros(m), np.bincount(columns, minlength=m)
+                np.add.at(positive, columns[(y > 0)[rows]], 1.0)
                 weight = 0.5 * every / (every + 100) * (np.log((positive + 0.5) / (every - positive + 0.5)) - p["bias"][0])
             else:
                 weight[new] = 0
