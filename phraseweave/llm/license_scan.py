@@ -98,10 +98,10 @@ class TemplateIndex:
             yield from range(first, last + 1)
             done = max(done, last)
 
-    def scan(self, words: list[bytes]) -> tuple[set[int], dict[str, float]]:
-        """Starts of all phrases, and for each label the best containment found."""
+    def scan(self, words: list[bytes]) -> tuple[set[int], dict[str, tuple[float, int, int]]]:
+        """Starts of all phrases, and for each label the best containment found, with the first window that has it (start, words)."""
         starts: set[int] = set()
-        labels: dict[str, float] = {}
+        labels: dict[str, tuple[float, int, int]] = {}
         hits: dict[int, tuple[Template, list[int]]] = {}
         for place, word in enumerate(words):
             for t in self.prefix.get(self.order.get(word, -1), ()):
@@ -117,7 +117,9 @@ class TemplateIndex:
                     if tuple(block) != t.words:
                         continue
                     starts.add(start << 8 | PHRASE_NUMBER[t.label])
-                labels[t.label] = max(share, labels.get(t.label, 0.0))
+                best = labels.get(t.label)
+                if best is None or (share, -start) > (best[0], -best[1]):
+                    labels[t.label] = (share, start, len(block))
         return starts, labels
 
 
@@ -144,9 +146,13 @@ def _frequencies(tokens: frozenset[bytes]):
     return run
 
 
+#: Where a label's best window is.
+SPAN = pa.struct([("label", pa.string()), ("share", pa.float64()), ("start", pa.int64()), ("words", pa.int64())])
+
+
 def _scan(templates: list[Template], frequency: dict[bytes, int], threshold: float):
     names = list(PHRASE_NUMBER)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, frequency, threshold)
@@ -157,7 +163,7 @@ def _scan(templates: list[Template], frequency: dict[bytes, int], threshold: flo
                 starts, labels = index.scan(words)
                 places = [s >> 8 for s in starts]
                 base = sorted({names[s & 255] for s in starts})
-                out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(labels)), max(labels.values(), default=0.0)))
+                out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(labels)), max((share for share, *_ in labels.values()), default=0.0), [dict(zip(SPAN.names, (label, *labels[label]), strict=True)) for label in sorted(labels)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -170,7 +176,8 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, threshol
     PHRASES), first_word and last_word (smallest and largest start of one, in words from 0; else
     null), base_labels (of phrases), labels (of phrases and of templates ``texts`` whose words a
     window holds to the share ``threshold`` or more), score (the best share; 1 for a phrase, 0
-    for nothing). Labels are distinct, sorted and joined by commas.
+    for nothing), spans (for each label the first window with its best share: label, share, start
+    and number of words). Labels are distinct, sorted and joined by commas.
 
     Words are A-Z lower-cased runs of ASCII letters, digits and characters outside ASCII. Null
     and empty texts have no words, no labels and score 0. Repeated rows are scanned each, null
@@ -181,7 +188,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, threshol
     tokens = frozenset(w for t in templates for w in t.words)
     counted = rows.select("text").mapInArrow(_frequencies(tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {bytes(r["token"]): r["n"] for r in counted.collect()}  # as many rows as the templates have tokens
-    return rows.mapInArrow(_scan(templates, frequency, threshold), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(_scan(templates, frequency, threshold), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, share: double, start: long, words: long>>")
 
 
 def _sql_list(words: tuple[str, ...] | list[str]) -> str:
@@ -189,7 +196,7 @@ def _sql_list(words: tuple[str, ...] | list[str]) -> str:
 
 
 def scan_sql(texts: dict[str, str] | None = None, threshold: float = 0.8) -> str:
-    """DuckDB SQL for the rows of ``scan_licenses``: every window of every text is compared."""
+    """DuckDB SQL for the rows of ``scan_licenses`` without spans: every window of every text is compared."""
     top, below = ratio(threshold)
     places, shares = [], []
     for phrase, label in PHRASES.items():

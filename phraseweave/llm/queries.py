@@ -39,7 +39,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_warc_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:

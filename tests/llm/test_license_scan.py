@@ -44,6 +44,7 @@ def test_against_brute_force(spark):
     key = lambda r: (r[0] is None, r[0] or 0)
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(((i, *brute(t)) for i, t in rows), key=key), strict=True):
         assert a[:7] == b[:7] and abs(a[7] - b[7]) < 1e-12, (a, b)
+        assert ",".join(x.label for x in a[8]) == a[6] and max((x.share for x in a[8]), default=0) == a[7]
 
 
 def test_each_filter_prunes():
@@ -56,7 +57,12 @@ def test_each_filter_prunes():
     index = TemplateIndex(templates, frequency, 0.9)
     got = index.scan(words)[1]
     want = {t.label: max(len(set(t.words) & set(words[i : i + len(t.words)])) / len(set(t.words)) for i in range(len(words) - len(t.words) + 1)) for t in templates}
-    assert got == {k: v for k, v in want.items() if v >= 0.9} and "ten" in got
+    assert {label: share for label, (share, *_) in got.items()} == {k: v for k, v in want.items() if v >= 0.9} and "ten" in got
+    for t in templates:
+        if t.label in got:
+            _, start, n = got[t.label]
+            shares = [len(set(t.words) & set(words[i : i + n])) / len(set(t.words)) for i in range(len(words) - n + 1)]
+            assert n == len(t.words) and start == shares.index(want[t.label])
     assert 3 * len(words) > index.looked > index.long_enough > index.well_placed > 0
 
 
