@@ -83,22 +83,28 @@ class PartTokens(dict):
         return ids
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    fields = [*PIECE, ("ids", pa.binary())] if with_ids else PIECE
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = PartTokens.of(path)
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = tokens.encode(text) + end
                 n = len(ids) // 4
                 start, stop, piece = 0, (n - 1) % capacity + 1, 0
                 while start < n:
-                    for column, value in zip(out, (doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
+                    mine = ids[4 * start : 4 * stop]
+                    for column, value in zip(out, (doc_id, piece, start, stop - start, zlib.crc32(mine), mine), strict=False):
                         column.append(value)
                     start, stop, piece = stop, stop + capacity, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, fields, strict=True)], [name for name, _ in fields])
 
     return run
 
@@ -185,14 +191,14 @@ def _place(runs: list[tuple]):
             at = table[np.searchsorted(starts, length << 44 | rank, side="right") - 1]
             nth = rank - at[:, 1]
             sequence, offset = at[:, 3] + nth // np.maximum(at[:, 4], 1), at[:, 5] + nth % np.maximum(at[:, 4], 1) * length
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            names = [c for c in batch.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, space: Workspace, rows_a_salt: int = 200_000) -> DataFrame:
-    """sequence_id and offset for stored ``pieces`` (doc_id, piece, start, length, ids_crc32) of length 1 to capacity."""
+    """sequence_id and offset for stored ``pieces`` (doc_id, piece, start, length, ids_crc32, and ids or not) of length 1 to capacity."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
     salts = max(8, sum(counts.values()) // rows_a_salt)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
@@ -200,8 +206,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, space: Workspace, rows_a_salt:
     first = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("nth", nth).join(first.select("length", "salt", "first"), ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - 1).alias("rank"))
-    return ranked.mapInArrow(_place(best_fit_decreasing(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select(*pieces.columns, (F.col("first") + F.col("nth") - 1).alias("rank"))
+    ids = ", ids binary" if "ids" in pieces.columns else ""
+    return ranked.mapInArrow(_place(best_fit_decreasing(counts, capacity)), f"{PIECES}{ids}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -217,7 +224,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     Null and empty texts are the end id alone. Repeated rows are packed each, null ids stay
     null, and an empty table gives no rows.
     """
+    return _packed(docs, tokenizer, capacity, end_id, with_ids=False)
+
+
+def _packed(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     space = Workspace(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
     return pack_pieces(space.save(pieces, "pieces"), capacity, space)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+    """The sequences of ``pack_documents`` themselves: sequence_id, n_tokens, ids (little-endian unsigned 32-bit), pieces.
+
+    pieces has doc_id, piece and offset of what a sequence holds, in order. A sequence is a row of at most
+    ``capacity`` tokens, so what is gathered for it is bounded. Nulls and ties as there; an empty table gives no rows.
+    """
+    part = F.struct("offset", "doc_id", "piece", "length", "ids")
+    whole = _packed(docs, tokenizer, capacity, end_id, with_ids=True).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"]))
+    pieces = F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset")))
+    return whole.select("sequence_id", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"]).alias("n_tokens"), ids.alias("ids"), pieces.alias("pieces"))

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from phraseweave.llm.packing import CapacityTree, best_fit_decreasing, pack_documents
+from phraseweave.llm.packing import CapacityTree, best_fit_decreasing, pack_documents, packed_sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, length string, rank int"
@@ -84,3 +84,25 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_sequences_hold_the_documents(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["tree", "Größe", "x1", "\n", "of the"]) for _ in range(rng.choice([0, 3, 200, 2500])))) for i in range(40)] + [(None, None), (3, "again"), (3, "again")]
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA).repartition(3)
+    tokenizer = Tokenizer.from_file(PATH)
+    sequences = packed_sequences(docs, PATH, capacity=512).collect()
+    assert sorted(s.sequence_id for s in sequences) == list(range(len(sequences)))
+    found = []
+    for s in sequences:
+        ids = np.frombuffer(bytes(s.ids), "<u4").tolist()
+        assert len(ids) == s.n_tokens <= 512 and s.pieces[0].offset == 0
+        ends = [p.offset for p in s.pieces[1:]] + [len(ids)]
+        found += [(p.doc_id, p.piece, ids[p.offset : end]) for p, end in zip(s.pieces, ends, strict=True)]
+    want = []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 512 + 1, len(ids) + 1, 512)]
+        want += [(doc_id, n, ids[a:b]) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert packed_sequences(docs.limit(0), PATH).collect() == []
