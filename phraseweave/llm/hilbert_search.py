@@ -305,7 +305,8 @@ def measured_curves(points: DataFrame, count: int, model: Curves, kind: type, wi
         if tried[-1][0] <= share * count:
             break
     _, curves, half = min(tried)
-    return ranks.filter(F.col("curve") < curves), half
+    # so wide that a window has k others on every curve, if there are so many
+    return ranks.filter(F.col("curve") < curves), max(half, k)
 
 
 def nearest_neighbours(

@@ -104,6 +104,19 @@ def test_recall_on_queries_that_the_windows_were_not_fit_on(spark):
     assert len(got) == 3000 and hits >= 0.9 * 3000
 
 
+def test_every_query_gets_as_many_as_there_are(spark):
+    """Pairs of vectors far from all others: narrow windows would hold the own partner alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(0, 400, 2):
+        centre = rng.normal(size=12)
+        rows += [(i + j, [float(np.float32(x)) for x in centre + 1e-4 * rng.normal(size=12)]) for j in (0, 1)]
+    docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    for k in (1, 5, 30):
+        got = nearest_neighbours(docs, every=4, k=k, sample=20).groupBy("query_id").count().collect()
+        assert len(got) == 100 and {r["count"] for r in got} == {k}
+
+
 def test_few_rows(spark):
     docs = spark.createDataFrame([(50, [1.0, 0.0], 0, ""), (7, [0.0, 2.0], 0, ""), (8, [1.0, 1.0], 0, "")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nearest_neighbours(docs).orderBy("rank").collect()] == [(50, 1, 8, 0.707107), (50, 2, 7, 0.0)]
