@@ -7,6 +7,7 @@ a chunk or block, once written, never changes when a task is tried again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,6 +28,8 @@ WORD_BYTES = bytes(
 SPACE_BYTES = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
 U64 = np.uint64
+#: The C library's call that returns free memory, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 class Workspace:
@@ -63,16 +66,26 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the machine, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about ``most`` bytes of text (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        run = np.cumsum(size, dtype=np.int64) // most
-        cut = np.flatnonzero(np.diff(run)) + 1
-        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-            yield batch.slice(int(a), int(b - a))
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            run = np.cumsum(size, dtype=np.int64) // most
+            cut = np.flatnonzero(np.diff(run)) + 1
+            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                yield batch.slice(int(a), int(b - a))
+    finally:
+        release()
 
 
 def split_words(texts: pa.Array, table: bytes = WORD_BYTES) -> tuple[np.ndarray, pa.Array]:

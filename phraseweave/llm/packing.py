@@ -34,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTABLE = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
 BYTE_OF = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: Parts whose ids a worker remembers; it forgets all when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class PartTokens(dict):
