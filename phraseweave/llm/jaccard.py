@@ -372,16 +372,13 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     links = space.keep(links.union(_block_pairs(blocks, top, below).mapInArrow(_across(top, below), found)))
     groups = space.keep(connected_components(links.select(F.col("key").alias("src"), F.col("root").alias("dst")), space))
     per_node = links.groupBy("key").agg(F.sum("links").alias("links"))
-    class_of = groups.join(nodes.select("key", "copy_id"), groups["node"] == nodes["key"]).groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    classed = groups.join(class_of, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "class_id")
+    class_of = space.keep(groups.join(nodes.select("key", "copy_id"), groups["node"] == nodes["key"]).groupBy("component").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("members")))
+    bound = max(1.0, HOT_SHARE * signed_rows.count())
+    classed = _joined_hot(groups, class_of, "component", "members", bound).select(F.col("node").alias("key"), F.col("component").alias("label"), "class_id")
     whole = nodes.select("key", "copy_id", "copies").join(per_node, "key", "left").join(classed, "key", "left")
     whole = whole.select("key", "copies", "copy_id", F.coalesce("label", "key").alias("label"), F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     whole = space.keep(whole)
-    bound = max(1.0, HOT_SHARE * signed_rows.count())
-    # at most 1 / HOT_SHARE keys have so many rows
-    known = signed_rows.select("doc_id", "tag", "key").join(F.broadcast(whole.filter(F.col("copies") > bound)), "key", "left")
-    rest = known.filter("copies is null and key is not null").select("doc_id", "tag", "key").join(whole.filter(F.col("copies") <= bound), "key")
-    return known.filter("copies is not null or key is null").unionByName(rest).select(
+    return _joined_hot(signed_rows.select("doc_id", "tag", "key"), whole, "key", "copies", bound).select(
         "doc_id",
         "tag",
         "label",
@@ -391,6 +388,16 @@ def _joined(docs: DataFrame, words: int, threshold: float, trees: int, target_re
     )
 
 
+def _joined_hot(left: DataFrame, right: DataFrame, key: str, size: str, bound: float) -> DataFrame:
+    """Left join with a table of one row a key that says how many rows the left has of it: keys with more than the bound by broadcast, the others by a shuffle.
+
+    Where the bound is a share of all rows, there are no more such keys than its inverse. Rows without key stay.
+    """
+    known = left.join(F.broadcast(right.filter(F.col(size) > bound)), key, "left")
+    rest = known.filter(F.col(size).isNull() & F.col(key).isNotNull()).select(*left.columns).join(right.filter(F.col(size) <= bound), key)
+    return known.filter(F.col(size).isNotNull() | F.col(key).isNull()).unionByName(rest)
+
+
 def _block_pairs(blocks: DataFrame, top: int, below: int) -> DataFrame:
     """Pairs of blocks of a component that set sizes allow to match, dealt so that no task has all of a large component."""
     at = blocks.select("component", "block", "low", "high").withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy("block")) - 1)  # a row for each block
