@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseweave.llm.common import WORD_BYTES, Workspace, encode, hash_words, slices, split_words
+from phraseweave.llm.common import WORD_BYTES, Workspace, encode, hash_words, release, slices, split_words
 
 #: Entries of a sample that are worked on at once.
 PIECE = 1 << 19
@@ -80,19 +80,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Colu
     # copies say the same once
     label_of = dict(zip(held.column("terms").to_pylist(), held.column("label").to_pylist(), strict=True))
     del held
+    release()
     order = sorted(label_of, key=lambda terms: (label_of[terms], terms))
     return [label_of[t] for t in order], [np.frombuffer(t, np.int32) for t in order]
 
 
 def incidence(texts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms that at least ``least`` texts have, sorted; and rows and columns of the texts' terms among them."""
-    flat = np.sort(np.concatenate([*texts, np.zeros(0, np.int32)]))
-    first = np.flatnonzero(np.diff(flat, prepend=-1))
-    terms = flat[first[np.diff(np.append(first, len(flat))) >= least]]
+    flat = np.concatenate([*texts, np.zeros(0, np.int32)])
+    flat.sort()
+    first = np.flatnonzero(np.diff(flat, prepend=np.int32(-1))).astype(np.int32)
+    terms = flat[first[np.diff(first, append=np.int32(len(flat))) >= least]]
     del flat, first
-    found = [select(np.full(len(t), i, np.int32), t, terms) for i, t in enumerate(texts)]
-    rows, columns = (np.concatenate([*(f[k].astype(np.int32) for f in found), np.zeros(0, np.int32)]) for k in (0, 1))
-    return terms.astype(np.int64), rows, columns
+    none = np.zeros(0, np.int32)
+    columns = [select(none, t, terms)[1].astype(np.int32) for t in texts]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in columns])
+    return terms.astype(np.int64), rows, np.concatenate([*columns, none])
 
 
 def least_texts(share: float, least_gain: float) -> float:
@@ -146,11 +149,12 @@ def pair_directions(error: np.ndarray, spread: np.ndarray, rows: np.ndarray, col
 
 
 def select(rows: np.ndarray, found: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of terms found in rows (or in no rows in particular) those that are among ``terms``, by their place there."""
     if not len(terms):
-        return rows[:0], rows[:0]
+        return rows[:0], np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
     hit = terms[at] == found
-    return rows[hit], at[hit]
+    return rows[hit] if len(rows) else rows, at[hit]
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseweave.llm.common import WORD_BYTES, encode, hash_words, slices, split_words
+from phraseweave.llm.common import WORD_BYTES, encode, hash_words, release, slices, split_words
 from phraseweave.llm.hashed_terms import Adam, distinct_pairs, gains, incidence, keep_rows, labelled_sample, least_texts, place, select
 from phraseweave.llm.toxicity import LEAST_GAIN, logistic
 
@@ -79,6 +79,7 @@ class CumulativeLink:
         A term enters when at some threshold its texts' grades differ by LEAST_GAIN from what the model
         expects of them; then all are trained again, in ``rounds`` rounds at most.
         """
+        y = np.asarray(y, np.int64)
         grades = np.unique(y)
         if len(grades) < 2:
             return cls(np.zeros(0, np.int64), np.append(grades, grades[-1:] if len(grades) else [0, 0])[:2], np.array([-30.0]), np.zeros(0))
@@ -86,6 +87,7 @@ class CumulativeLink:
         grade = np.searchsorted(grades, y)
         beyond = [(y >= g).astype(float) for g in grades[1:]]
         terms, rows, columns = incidence(texts, min(least_texts(b.mean(), LEAST_GAIN) for b in beyond))
+        del texts
         m = len(terms)
         share = np.clip(np.array([(grade <= i).mean() for i in range(k - 1)]), 1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
@@ -150,8 +152,10 @@ def _grade(model: CumulativeLink):
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> CumulativeLink:
-    y, texts = labelled_sample(docs, labels, "quality", train, sample, most_held, words_and_shapes)
-    return CumulativeLink.fit(np.array(y, np.int64), texts)
+    # the sample is held by what trains on it alone, and goes with it
+    model = CumulativeLink.fit(*labelled_sample(docs, labels, "quality", train, sample, most_held, words_and_shapes))
+    release()
+    return model
 
 
 def grade_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> DataFrame:

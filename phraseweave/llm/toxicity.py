@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseweave.llm.common import slices
+from phraseweave.llm.common import release, slices
 from phraseweave.llm.hashed_terms import Adam, gains, incidence, keep_rows, labelled_sample, least_texts, pair_directions, select, words_and_prefixes
 
 #: Log-likelihood ratio from which a term enters the machine, and standard deviations of a pair's slope from which its terms do.
@@ -43,6 +43,7 @@ class FactorizationMachine:
         the log-odds of their term, the more the more texts have it, so words of a few copied texts gain
         no weight beside a telling one.
         """
+        y = (np.asarray(y) > 0).astype(float)
         n = max(1, len(y))
         share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
         p = {"bias": np.array([np.log(share / (1 - share))])}
@@ -51,6 +52,7 @@ class FactorizationMachine:
         # beyond this bound no slope can be so steep either
         least = min(least_texts(share, LEAST_GAIN), LEAST_SLOPE**2 * share * (1 - share) / max(share, 1 - share) ** 2)
         terms, rows, columns = incidence(texts, least)
+        del texts
         m = len(terms)
         weight, v = np.zeros(m), np.random.default_rng(seed).normal(0, 0.02, (m, factors))
         active, logit = np.zeros(m, bool), np.full(n, p["bias"][0])
@@ -112,8 +114,10 @@ def _score(model: FactorizationMachine):
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> FactorizationMachine:
-    y, texts = labelled_sample(docs, labels, "toxic", train, sample, most_held, words_and_prefixes)
-    return FactorizationMachine.fit((np.array(y) > 0).astype(float), texts)
+    # the sample is held by what trains on it alone, and goes with it
+    model = FactorizationMachine.fit(*labelled_sample(docs, labels, "toxic", train, sample, most_held, words_and_prefixes))
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 10_000, most_held: int = 8_000_000) -> DataFrame:
