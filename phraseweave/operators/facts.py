@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseweave.functions.uri import clean_name
-from phraseweave.operators import match, pattern
+from phraseweave.operators import match
 
 
 def discovery_entities(facts: DataFrame, trained: DataFrame, entity_type: DataFrame, relation_types: DataFrame, limit: int, allow_unknown: bool = True) -> DataFrame:
@@ -28,22 +30,28 @@ def occurrences(facts: DataFrame, links: DataFrame, without_self: bool = False)
     return found.select("sentence_id", "s", "p", "o", "link")
 
 
-def scored_facts(pairs: DataFrame, patterns: DataFrame, pattern_word: DataFrame, meta: DataFrame, candidates: DataFrame, subject_scores: DataFrame, object_scores: DataFrame, weights: DataFrame, threshold: float = 0.5, position_weight: float = 0.15, syntax_weight: float = 1.0, type_matching: bool = True) -> DataFrame:
-    """Facts of pairs (pattern_id, s, o, sentence, relative_position) whose match with a candidate relation reaches the threshold.
+def scored_objects(parts: DataFrame, pattern_word: DataFrame, meta: DataFrame, weights: DataFrame, threshold: float = 0.5, position_weight: float = 0.15, syntax_weight: float = 1.0, type_matching: bool = True, allow_unknown: bool = True, keep: Sequence[str] = ("sentence",)) -> DataFrame:
+    """Facts of objects (pattern_id, s, o, relative_position, own, common, subject_scores, object_scores) whose match with a candidate relation reaches the threshold.
 
-    Returns pattern_id, s, p, o, sentence, subject_score, object_score, position, syntax, score. Type scores
-    (id, relation, score) are of pattern ids; a null one, like one that isn't there, takes no part.
+    Returns pattern_id, s, p, o, the kept columns, subject_score, object_score, position, syntax, score. ``common`` has (relation, n); scores of
+    an end (relation, score) are null without types: then every relation is a candidate there, where allowed, and the score takes no part.
+    Learnt relations, some dozens, are one row, so an object meets them where it is.
     """
-    common = pattern.intersect(patterns, pattern_word, candidates).groupBy("pattern_id", "relation").agg(F.sum("n").alias("common"))
-    own = patterns.groupBy("pattern_id").agg(F.sum("n").alias("own"))
-    learnt = pattern_word.groupBy("relation").agg(F.sum("n").alias("learnt")).join(meta.withColumnRenamed("relative_position", "mean_position"), "relation").join(weights, "relation")
-    rows = candidates.join(own, "pattern_id").join(common, ["pattern_id", "relation"], "left").join(learnt, "relation").join(pairs, "pattern_id")
-    for side, scores in (("subject", subject_scores), ("object", object_scores)):
-        rows = rows.join(scores.select(F.col("id").alias("pattern_id"), "relation", F.col("score").alias(f"{side}_score")), ["pattern_id", "relation"], "left")
-    parts = {"syntax": match.syntax_score(F.coalesce("common", F.lit(0)), F.col("own"), F.lit(1), F.col("learnt"), F.col("covered_sentences")), "position": match.position_score(F.col("relative_position"), F.col("mean_position"))}
+    relations = pattern_word.groupBy("relation").agg(F.sum("n").alias("learnt")).join(meta.withColumnRenamed("relative_position", "mean_position"), "relation").join(weights, "relation")
+    every = relations.agg(F.collect_list(F.struct(*relations.columns)).alias("every"))  # one row
+    rows = parts.crossJoin(F.broadcast(every)).select(*parts.columns, F.inline("every"))
+    of = lambda column: F.get(F.filter(column, lambda x: x["relation"] == F.col("relation")), F.lit(0))
+    for side in ("subject", "object"):
+        known, fit = F.col(f"{side}_scores").isNotNull(), of(f"{side}_scores")
+        if type_matching:
+            rows = rows.filter(F.when(known, fit.isNotNull()).otherwise(F.lit(allow_unknown)))
+        score = F.when(known, F.coalesce(fit["score"], F.lit(0.0))).otherwise(F.lit(None if allow_unknown else 0.0).cast("double"))
+        rows = rows.withColumn(f"{side}_score", score)
+    shared = F.coalesce(of("common")["n"], F.lit(0))
+    parts = {"syntax": match.syntax_score(shared, F.col("own"), F.lit(1), F.col("learnt"), F.col("covered_sentences")), "position": match.position_score(F.col("relative_position"), F.col("mean_position"))}
     score = match.match_score(F.col("subject_score"), F.col("object_score"), F.col("position"), F.col("syntax"), F.col("subject_weight"), F.col("object_weight"), position_weight, syntax_weight, type_matching)
     out = rows.withColumns(parts).withColumn("score", score).filter(F.col("score") >= threshold).filter(~F.contains("o", F.lit("redlink=1")))
-    return out.select("pattern_id", "s", F.col("relation").alias("p"), "o", "sentence", "subject_score", "object_score", "position", "syntax", "score")
+    return out.select("pattern_id", "s", F.col("relation").alias("p"), "o", *(c for c in keep if c not in ("pattern_id", "s", "o")), "subject_score", "object_score", "position", "syntax", "score")
 
 
 def by_score(facts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ labels to rows with words, so any provider fits.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from phraseweave.config import Config
 from phraseweave.functions import text as T
 from phraseweave.functions.uri import clean_name, internal_link, resource_uri
 from phraseweave.operators import facts as facts_of
-from phraseweave.operators import match, pattern, types
+from phraseweave.operators import pattern, types
 from phraseweave.session import stored
 from phraseweave.sources import rdf
 from phraseweave.sources.articles import articles_of, fetched, tag_sentences
@@ -52,21 +52,24 @@ def linked_objects(tagged: DataFrame, parser: Parser, max_tokens: int = 50) -> D
     return stored(rows.withColumn("pattern_id", F.monotonically_increasing_id()))
 
 
-def object_types(objects: DataFrame, relation_of: DataFrame, entity_type: DataFrame) -> DataFrame:
+def of_relations(objects: DataFrame, relation_of: DataFrame | None) -> DataFrame:
+    """Objects with the relations that they stand for (pattern_id, relation); None: they have a relation already."""
+    return objects if relation_of is None else objects.join(relation_of, "pattern_id")
+
+
+def object_types(objects: DataFrame, relation_of: DataFrame | None, entity_type: DataFrame) -> DataFrame:
     """(relation, side, type, n): types of both ends of the sentences that stand for each relation."""
     ends = F.array(*(F.struct(F.lit(side).alias("side"), clean_name(F.col(c)).alias("entity")) for side, c in (("subject", "s"), ("object", "link"))))
-    per_entity = objects.join(relation_of, "pattern_id").select("relation", F.inline(ends)).groupBy("relation", "side", "entity").agg(F.count("*").alias("n"))
+    per_entity = of_relations(objects, relation_of).select("relation", F.inline(ends)).groupBy("relation", "side", "entity").agg(F.count("*").alias("n"))
     return pattern.merge_types(per_entity.join(entity_type, "entity"))
 
 
-def learn_patterns(objects: DataFrame, relation_of: DataFrame, entity_type: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """What the sentences of each relation (pattern_id, relation; a fact that repeats counts again) have in common."""
-    patterns = pattern.sentence_patterns(objects, config.depth)
-    meta = pattern.merge_meta(objects.select("pattern_id", "relative_position").join(relation_of, "pattern_id"))
+def learn_patterns(objects: DataFrame, relation_of: DataFrame | None, entity_type: DataFrame, config: Config) -> dict[str, DataFrame]:
+    """What the sentences of each relation (pattern_id, relation; a fact that repeats counts again; None: objects have their relation) have in common."""
     return {
-        "pattern_word": pattern.clean_words(pattern.merge(patterns, relation_of), config.least_threshold_words),
+        "pattern_word": pattern.clean_words(stored(pattern.merged(of_relations(objects, relation_of), config.depth)), config.least_threshold_words),
         "pattern_type": pattern.clean_types(object_types(objects, relation_of, entity_type), config.least_threshold_types),
-        "pattern_meta": meta,
+        "pattern_meta": pattern.merge_meta(of_relations(objects, relation_of).select("relation", "relative_position")),
     }
 
 
@@ -86,38 +89,32 @@ def learn(facts: DataFrame, source: Source, entity_type: DataFrame, parser: Pars
     return learnt | {"training_resource": training.select("s").distinct()}
 
 
-def candidates(objects: DataFrame, learnt: Mapping[str, DataFrame], entity_type: DataFrame, config: Config) -> DataFrame:
-    """(pattern_id, relation): relations that know types of both ends; without type matching all."""
-    relations = learnt["pattern_meta"].select("relation")
-    if not config.type_matching:
-        every = relations.agg(F.collect_list("relation").alias("every"))  # one row
-        return objects.select("pattern_id").crossJoin(F.broadcast(every)).select("pattern_id", F.explode("every").alias("relation"))
-    pairs = objects.select("pattern_id", clean_name(F.col("s")).alias("subject"), clean_name(F.col("link")).alias("object"))
-    known = {side: learnt["pattern_type"].filter(F.col("side") == side) for side in types.SIDES}
-    found = {side: match.candidate_relations(pairs.select(F.col(side).alias("entity")), entity_type, known[side], relations, config.allow_unknown_entity_types) for side in types.SIDES}
-    return match.candidates_of_pairs(pairs.withColumnRenamed("pattern_id", "pair_id"), found["subject"], found["object"]).select(F.col("pair_id").alias("pattern_id"), "relation")
-
-
-def end_scores(objects: DataFrame, wanted: DataFrame, learnt: Mapping[str, DataFrame], entity_type: DataFrame, config: Config, side: str) -> DataFrame:
-    """(id, relation, score) of one end of each candidate (pattern_id, relation), scored once for each entity and relation."""
-    ends = objects.select("pattern_id", clean_name(F.col("s" if side == "subject" else "link")).alias("entity")).join(wanted, "pattern_id")
-    distinct = ends.select("entity", "relation").distinct()
-    typed = distinct.join(types.types_of(distinct, entity_type), "entity").withColumnRenamed("entity", "id")
-    probabilities = learnt["type_pattern_type"].filter(F.col("side") == side).select(F.col("p").alias("relation"), "type", "probability")
-    scores = match.type_score(typed, probabilities, config.allow_unknown_entity_types).withColumnRenamed("id", "entity")
-    return ends.join(scores, ["entity", "relation"]).select(F.col("pattern_id").alias("id"), "relation", "score")
-
-
-def score_objects(objects: DataFrame, learnt: Mapping[str, DataFrame], entity_type: DataFrame, config: Config) -> DataFrame:
-    """Facts (pattern_id, s, p, o, sentence, its scores and score) of linked objects whose match reaches the threshold."""
-    wanted = stored(candidates(objects, learnt, entity_type, config))
-    patterns = stored(pattern.sentence_patterns(objects.join(wanted.select("pattern_id").distinct(), "pattern_id", "left_semi"), config.depth))
-    ends = {side: end_scores(objects, wanted, learnt, entity_type, config, side) for side in types.SIDES}
-    pairs = objects.select("pattern_id", "s", resource_uri(F.col("link")).alias("o"), "sentence", "relative_position")
+def end_scores(learnt: Mapping[str, DataFrame], entity_type: DataFrame, config: Config, side: str) -> DataFrame:
+    """(entity, scores) of entities with types: the relations that know one of them (without type matching all) and how well they fit that side, as (relation, score)."""
+    found = learnt["type_pattern_type"].filter(F.col("side") == side).select(F.col("p").alias("relation"), "type", "probability")
+    knows = learnt["pattern_type"].filter(F.col("side") == side).select("relation", "type").distinct().withColumn("knows", F.lit(True))
+    of_type = found.join(knows, ["relation", "type"], "full")
+    entities = entity_type.groupBy("entity").agg(F.collect_set("type").alias("types"))
+    rows = entities.select("entity", F.size("types").alias("n"), F.explode("types").alias("type")).join(of_type, "type", "left")
+    fits = rows.groupBy("entity", "n", "relation").agg((F.coalesce(F.sum("probability"), F.lit(0.0)) / F.col("n")).alias("score"), F.max("knows").alias("knows"))
+    wanted = F.col("relation").isNotNull() & (F.col("knows") if config.type_matching else F.lit(True))
+    return fits.groupBy("entity").agg(F.collect_list(F.when(wanted, F.struct("relation", "score"))).alias("scores"))
+
+
+def score_objects(objects: DataFrame, learnt: Mapping[str, DataFrame], entity_type: DataFrame, config: Config, keep: Sequence[str] = ("sentence",)) -> DataFrame:
+    """Facts (pattern_id, s, p, o, kept columns, its scores and score) of linked objects whose match reaches the threshold.
+
+    Candidates of an object are the relations that know types of both ends. What its tree has in common with
+    relations is counted where the tree is; then scores come to each end by its entity, once for all relations.
+    """
+    parts = pattern.common_sums(objects, learnt["pattern_word"], list(dict.fromkeys(["pattern_id", "s", "link", "relative_position", *keep])), config.depth)
+    parts = parts.withColumns({"subject": clean_name(F.col("s")), "object": clean_name(F.col("link"))})
+    for side in types.SIDES:
+        scores = end_scores(learnt, entity_type, config, side)
+        parts = parts.join(scores.withColumnsRenamed({"entity": side, "scores": f"{side}_scores"}), side, "left")
+    parts = parts.drop(*types.SIDES).withColumn("o", resource_uri(F.col("link")))
     weights = learnt["type_pattern"].select(F.col("p").alias("relation"), "subject_weight", "object_weight")
-    return facts_of.scored_facts(
-        pairs, patterns, learnt["pattern_word"], learnt["pattern_meta"], wanted, ends["subject"], ends["object"], weights, config.match_threshold, config.position_weight, config.syntax_weight, config.type_matching
-    )
+    return facts_of.scored_objects(parts, learnt["pattern_word"], learnt["pattern_meta"], weights, config.match_threshold, config.position_weight, config.syntax_weight, config.type_matching, config.allow_unknown_entity_types, keep)
 
 
 def extract(learnt: Mapping[str, DataFrame], facts: DataFrame, source: Source, entity_type: DataFrame, parser: Parser, config: Config, tokenize: Tokenizer = T.treebank_of_each) -> DataFrame:
