@@ -7,12 +7,16 @@ and markup links, which regular expressions of the engine can't rewrite.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from phraseweave.functions.uri import resource_uri
@@ -164,7 +168,7 @@ END_MATTER = re.compile(r"== *Further reading *==|== *References *==")
 HEADLINE = re.compile(r"(?m)^(=+).+?\1")
 EMPTY_NOTE, NOTE = re.compile(r"<[rR]ef(?:[ \n][^>]*?)?/>"), re.compile(r"(?s)<[rR]ef(?:[ \n][^>]*?[^/])?>.*?</[rR]ef>")
 CATEGORY, BULLET, STRONG = re.compile(r"\[\[Category:[^\[\]]*\]\]"), re.compile(r"\* ?"), re.compile(r"'{2,3}")
-PARAGRAPH = re.compile(r"(?s)([^\n].+?)\n\n")
+TEXT = re.compile(r"[^\n]")
 WIKI_LINK, BRACKETS = re.compile(r"\[\[([^|\]]*)\|?(.*?)\]\]"), re.compile(r"\[(.*?)\]")
 MARKUP_LINK, PAGE_LINK = re.compile(r"\[\[(.+?)(?:\|(.+?))?\]\]"), re.compile(r'(href="/wiki/)(.*?)(")')
 
@@ -174,6 +178,15 @@ def anchor(match: re.Match) -> str:
     return f'<a href="/wiki/{target.replace(" ", "_")}">{text or target}</a>'
 
 
+def mark_paragraphs(text: str) -> str:
+    """What stands before a blank line, two characters or more, as a paragraph; read once, however long the rest without a blank line is."""
+    out, at = [], 0
+    while (m := TEXT.search(text, at)) and (end := text.find("\n\n", m.start() + 2)) >= 0:
+        out.append(f"{text[at : m.start()]}<p>{text[m.start() : end]}</p>")
+        at = end + 2
+    return "".join(out) + text[at:]
+
+
 def wikitext_to_html(text: str | None) -> str:
     """Paragraphs and anchors of an article's markup; templates, comments, notes, files and end matter go.
 
@@ -186,7 +199,7 @@ def wikitext_to_html(text: str | None) -> str:
     text = strip_nested(strip_nested(text, FILES), WEB)
     for dropped in (CATEGORY, BULLET, STRONG):
         text = dropped.sub("", text)
-    text = PARAGRAPH.sub(r"<p>\1</p>", text)
+    text = mark_paragraphs(text)
     text = BRACKETS.sub(r"\1", WIKI_LINK.sub(anchor, text))
     text = re.sub(r"<p>[ \n]*</p>", "", text)
     return re.sub(r"</p>\n*<p>", "</p>\n\n<p>", text)
@@ -265,6 +278,7 @@ def redirect_html(text: str, targets: dict[str, str]) -> str:
 
 
 PAIR = StructType([StructField("href", StringType()), StructField("text", StringType())])
+PARAGRAPHS_ARROW = pa.list_(pa.struct([("text", pa.string()), ("anchors", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])))]))
 PARAGRAPHS = ArrayType(StructType([StructField("text", StringType()), StructField("anchors", ArrayType(PAIR))]))
 
 
@@ -278,9 +292,23 @@ def without_braces(text: pd.Series) -> pd.Series:
     return text.map(strip_braces, na_action="ignore")
 
 
-@pandas_udf(PARAGRAPHS)
-def paragraphs_of_html(html: pd.Series) -> pd.Series:
-    return html.map(html_paragraphs)
+#: Bytes of pages that are parsed at once. Fixed value.
+PAGES_AT_ONCE = 1 << 20
+
+
+def parsed_pages(html: pa.Array, most: int = PAGES_AT_ONCE) -> Iterator[pa.Array]:
+    """The paragraphs of pages, in runs of about ``most`` bytes (one page at least), so only a run's objects are there at a time."""
+    size = pc.fill_null(pc.binary_length(html), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size, dtype=np.int64) // most
+    cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(html)]
+    for a, b in zip(cut, cut[1:], strict=False):
+        yield pa.array([html_paragraphs(t) for t in html.slice(a, b - a).to_pylist()], PARAGRAPHS_ARROW)
+
+
+@arrow_udf(PARAGRAPHS)
+def paragraphs_of_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for html in batches:
+        yield from parsed_pages(html)
 
 
 #: Words, numbers with signs inside, and single signs: an approximation of treebank tokens.

@@ -9,6 +9,7 @@ from phraseweave.functions import uri as U
 from phraseweave.operators import pattern
 from phraseweave.plans import synth
 from phraseweave.plans.registry import query, whole
+from phraseweave.session import spread
 from phraseweave.sources import articles
 
 
@@ -97,7 +98,8 @@ def markup_steps(spark, d):
 )
 def html_paragraphs_made(spark, d):
     html = F.concat(F.lit("before<p>"), "p_name", F.lit(" &amp; <a href='/wiki/"), "p_partkey", F.lit("'>"), "p_brand", F.lit("</a><p><b>two</b><a name='x'></a></p>behind<a href='/wiki/no'>no</a>"))
-    parts = synth.table(spark, d, "part").select("p_partkey", F.posexplode(T.paragraphs_of_html(html)).alias("paragraph", "part"))
+    part = spread(synth.table(spark, d, "part").select("p_partkey", "p_name", "p_brand"))
+    parts = part.select("p_partkey", F.posexplode(T.paragraphs_of_html(html)).alias("paragraph", "part"))
     anchors = F.array_join(F.transform("part.anchors", lambda a: F.concat(a["href"], F.lit("="), a["text"])), ",")
     return parts.select("p_partkey", "paragraph", "part.text", anchors.alias("anchors"))
 

@@ -42,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, for work that costs far more than moving them: a file of one row group is read by one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def local_session(name: str = "phraseweave", cpus: int | None = None, memory: str = "6g") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (

@@ -1,12 +1,16 @@
 """Work that must not grow faster than its input: where trees are counted and looked up, what is shuffled, how rows are dealt."""
 
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 
+from phraseweave.functions import text as T
 from phraseweave.operators import pattern, trees
+from phraseweave.plans import queries as plans
 
 OBJECTS = "pattern_id long, relation string, words array<string>, heads array<int>, labels array<string>, start int"
 
@@ -76,3 +80,24 @@ def test_what_trees_have_in_common_with_learnt_ones(spark, most):
     assert {(r.pattern_id, c.relation): c.n for r in got for c in r.common} == sums
     assert {r.pattern_id: r.own for r in got} == {i: sum(t.values()) for i, t in plain_trees(rows).items()}
     assert most == 1 or most == 60 or "Exchange" not in plan_of(found)
+
+
+def test_paragraphs_of_long_text_without_blank_lines():
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab\n\n\r") for _ in range(rng.randrange(14)))
+        assert T.mark_paragraphs(text) == re.sub(r"(?s)([^\n].+?)\n\n", r"<p>\1</p>", text)
+    begun = time.process_time()
+    assert T.wikitext_to_html("word " * 40_000) == "word " * 40_000  # a scan from every letter to the end took minutes
+    assert time.process_time() - begun < 5
+
+
+def test_pages_are_parsed_in_bounded_runs():
+    pages = ["<p>x</p>" + "y" * 400, None, "", "<p>a<a href='/b'>c</a>", "z" * 3000, "<p>last"]
+    runs = list(T.parsed_pages(pa.array(pages), 1000))
+    assert len(runs) > 1 and [p for run in runs for p in run.to_pylist()] == [T.html_paragraphs(p) for p in pages]
+
+
+def test_costly_work_is_dealt_over_all_cores(spark):
+    made = plans.QUERIES["html_paragraphs_made"](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
