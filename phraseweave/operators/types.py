@@ -136,17 +136,23 @@ def independence(facts: DataFrame, entity_type: DataFrame, threshold: float = 1.
 
     ``mark_untyped`` gives subjects without types the type #empty.
     """
-    pairs = facts.select("p", clean_name(F.col("s")).alias("s"), clean_name(F.col("o")).alias("o")).groupBy("p", "s", "o").agg(F.count("*").alias("n"))
-    of = {c: entity_type.select(F.col("entity").alias(c), F.col("type").alias(f"{c}_type")) for c in ("s", "o")}
-    left = pairs.join(of["s"], "s", "left" if mark_untyped else "inner").withColumn("s_type", F.coalesce("s_type", F.lit("#empty")))
-    observed = left.join(of["o"], "o").groupBy("p", "s_type", "o_type").agg(F.sum("n").alias("observed"))
-    s_count = left.groupBy("p", "s_type").agg(F.sum("n").alias("s_n"))
-    o_count = pairs.join(of["o"], "o").groupBy("p", "o_type").agg(F.sum("n").alias("o_n"))
-    rows = observed.join(s_count, ["p", "s_type"]).join(o_count, ["p", "o_type"]).join(predicate_counts(facts), "p")
+    # an entity's types are one row in the joins, and all counts are sums over one reading of the facts
+    of = {c: entity_type.groupBy(F.col("entity").alias(c)).agg(F.collect_list(F.struct(F.coalesce("type", F.lit("#empty") if c == "s" else F.lit(None)).alias("type"))).alias(f"{c}_types")) for c in ("s", "o")}
+    rows = facts.select("p", clean_name(F.col("s")).alias("s"), clean_name(F.col("o")).alias("o")).join(of["s"], "s", "left").join(of["o"], "o", "left")
+    untyped = F.array(F.struct(F.lit("#empty").alias("type"))) if mark_untyped else F.array().cast("array<struct<type: string>>")
+    s_types, o_types = F.coalesce("s_types", untyped), F.coalesce("o_types", F.array().cast("array<struct<type: string>>"))
+    count = lambda what, s, o: F.struct(F.lit(what).alias("what"), s.alias("s_type"), o.alias("o_type"))
+    none = F.lit(None).cast("string")
+    both = F.flatten(F.transform(s_types, lambda s: F.transform(o_types, lambda o: count("both", s["type"], o["type"]))))
+    each = F.concat(F.array(count("fact", none, none)), F.transform(s_types, lambda s: count("s", s["type"], none)), F.transform(o_types, lambda o: count("o", none, o["type"])), both)
+    counts = stored(rows.select("p", F.inline(each)).groupBy("p", "what", "s_type", "o_type").agg(F.count("*").alias("n")))
+    of_what = lambda what, n, *keys: counts.filter(F.col("what") == what).select("p", *keys, F.col("n").alias(n))
+    predicates = of_what("fact", "facts")
+    rows = of_what("both", "observed", "s_type", "o_type").join(of_what("s", "s_n", "s_type"), ["p", "s_type"]).join(of_what("o", "o_n", "o_type"), ["p", "o_type"]).join(predicates, "p")
     expected = F.col("s_n") * F.col("o_n") / F.col("facts")
     rows = rows.withColumn("expected", expected).filter(F.col("expected") >= threshold)
     scored = rows.groupBy("p").agg((F.sum(F.col("observed") * F.abs(F.col("observed") - F.col("expected")) / F.col("expected")) / F.sum("observed")).alias("score"))
-    return predicate_counts(facts).join(scored, "p", "left").select("p", "facts", "score")
+    return predicates.join(scored, "p", "left").select("p", "facts", "score")
 
 
 def independence_table(scores: DataFrame) -> DataFrame:
