@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from phraseweave.functions import text as T
-from phraseweave.operators import pattern, trees
+from phraseweave.operators import pattern, trees, types
 from phraseweave.plans import queries as plans
 
 OBJECTS = "pattern_id long, relation string, words array<string>, heads array<int>, labels array<string>, start int"
@@ -101,3 +102,19 @@ def test_pages_are_parsed_in_bounded_runs():
 def test_costly_work_is_dealt_over_all_cores(spark):
     made = plans.QUERIES["html_paragraphs_made"](spark, "/root/testdata/sf0.001")
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_heads_are_found_without_a_shuffle(spark):
+    assert "Exchange" not in plan_of(plans.QUERIES["head_tokens"](spark, "/root/testdata/sf0.001"))
+
+
+def test_independence_reads_facts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda s: (read.add(1), s)[1], "string").asNondeterministic()
+    facts = spark.createDataFrame([(i, f"x/S{i % 3}", "p" if i % 2 else "q", f"x/O{i % 4}") for i in range(24)], "line_no long, s string, p string, o string").withColumn("s", seen("s"))
+    kinds = spark.createDataFrame([("S0", "A"), ("S0", "B"), ("S1", "A"), ("O0", "X"), ("O1", "X"), ("O1", "Y")], "entity string, type string")
+    for marked in (False, True):
+        before = read.value
+        got = {r.p: (r.facts, r.score) for r in types.independence(facts, kinds, mark_untyped=marked).collect()}
+        assert read.value - before == 24 and {p: n for p, (n, _) in got.items()} == {"p": 12, "q": 12}
+        assert got["q"][1] == pytest.approx(0.0) and got["p"][1] == pytest.approx(0.0)
