@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phraseweave.functions.uri import clean_name
 from phraseweave.operators import match
+from phraseweave.session import parts_of
 
 
 def discovery_entities(facts: DataFrame, trained: DataFrame, entity_type: DataFrame, relation_types: DataFrame, limit: int, allow_unknown: bool = True) -> DataFrame:
@@ -58,13 +59,21 @@ def by_score(facts: DataFrame) -> DataFrame:
     return facts.orderBy(F.desc("score"), "s", "p", "o")
 
 
+def fact_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(s, p, o, first, last): the distinct facts of two tables, and the first and the last (0: a, 1: b) that has each; nulls are equal.
+
+    Both are grouped in one shuffle, without a sort, by as many tasks as their size needs.
+    """
+    rows = a.select("s", "p", "o", F.lit(0).alias("side")).union(b.select("s", "p", "o", F.lit(1).alias("side")))
+    return rows.repartition(parts_of(a, b), "s", "p", "o").groupBy("s", "p", "o").agg(F.min("side").alias("first"), F.max("side").alias("last"))
+
+
 def new_facts(extracted: DataFrame, known: DataFrame) -> DataFrame:
-    return extracted.select("s", "p", "o").subtract(known.select("s", "p", "o"))
+    return fact_sides(extracted, known).filter("last = 0").select("s", "p", "o")
 
 
 def same_facts(a: DataFrame, b: DataFrame) -> bool:
-    a, b = a.select("s", "p", "o"), b.select("s", "p", "o")
-    return not a.subtract(b).limit(1).count() and not b.subtract(a).limit(1).count()
+    return not fact_sides(a, b).filter("first = last").limit(1).count()
 
 
 def coverage(targets: DataFrame, matched: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stored bytes of input for a task of a step that holds its rows in memory, and the most tasks of such a step.
+PART_BYTES, MOST_PARTS = 8 << 20, 50_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; without one a session on one machine gets a temporary one."""
@@ -47,6 +50,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def parts_of(*frames: DataFrame) -> int:
+    """How many tasks should share a step over these rows, by the stored size of what they are read from: a task then holds no more of a large input than of a small one.
+
+    A number of shuffle partitions that is fixed, or joined up by compressed size, lets a task's rows grow with the input or with how well they compress.
+    """
+    spark, size = frames[0].sparkSession, 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRDD":  # its size isn't known
+                return int(spark.conf.get("spark.sql.shuffle.partitions"))
+            size += int(str(leaf.stats().sizeInBytes()))
+    return min(max(size // PART_BYTES + 1, spark.sparkContext.defaultParallelism), MOST_PARTS)
+
+
 def local_session(name: str = "phraseweave", cpus: int | None = None, memory: str = "6g") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from phraseweave import session
 from phraseweave.functions import text as T
+from phraseweave.operators import facts as facts_of
 from phraseweave.operators import pattern, trees, types
 from phraseweave.plans import queries as plans
 
@@ -118,3 +120,20 @@ def test_independence_reads_facts_once(spark):
         got = {r.p: (r.facts, r.score) for r in types.independence(facts, kinds, mark_untyped=marked).collect()}
         assert read.value - before == 24 and {p: n for p, (n, _) in got.items()} == {"p": 12, "q": 12}
         assert got["q"][1] == pytest.approx(0.0) and got["p"][1] == pytest.approx(0.0)
+
+
+def test_facts_of_two_tables_are_grouped_once(spark, tmp_path, monkeypatch):
+    a = [("s1", "p", "o"), ("s1", "p", "o"), ("s2", "p", None), ("s3", None, "o"), ("s4", "p", "o"), (None, None, None)]
+    b = [("s4", "p", "o"), ("s4", "p", "o"), ("s2", "p", None), ("s5", "p", "o")]
+    for name, rows in (("a", a), ("b", b)):
+        spark.createDataFrame(rows, "s string, p string, o string").write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / name)) for name in "ab")
+    new = facts_of.new_facts(left, right)
+    assert "Join" not in plan_of(new) and plan_of(new).count("Exchange hash") == 1
+    assert Counter(tuple(r) for r in new.collect()) == Counter(set(a) - set(b))
+    assert not facts_of.same_facts(left, right) and facts_of.same_facts(left, left.union(left)) and not facts_of.same_facts(left, left.filter("s = 's1'"))
+    few = session.parts_of(left, right)
+    monkeypatch.setattr(session, "PART_BYTES", 64)
+    many = session.parts_of(left, right)
+    assert few == spark.sparkContext.defaultParallelism < many < session.parts_of(left, right, right)
+    assert facts_of.new_facts(left, right).rdd.getNumPartitions() == many
