@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phraseweave.functions.uri import abbreviated_type, clean_name
+from phraseweave.session import parts_of, stored
+
+#: Rows that a task gathers before it drops those behind the first ones of their predicate, and the most it keeps of those.
+GATHERED, KEPT = 50_000, 500_000
 
 
 def parse_triples(lines: DataFrame) -> DataFrame:
@@ -73,24 +81,57 @@ def first_by_line(facts: DataFrame, limit: int) -> DataFrame:
     return facts.orderBy("line_no").limit(limit) if limit else facts
 
 
+def firsts(table: pa.Table, limit: int) -> pa.Table:
+    """The first ``limit`` rows of each p, by line_no."""
+    code = table.column("p").combine_chunks().dictionary_encode(null_encoding="encode").indices
+    order = pc.sort_indices(pa.table({"p": code, "line_no": table.column("line_no")}), sort_keys=[("p", "ascending"), ("line_no", "ascending")], null_placement="at_start").to_numpy()
+    p = code.to_numpy(zero_copy_only=False)[order]
+    return table.take(pa.array(order[np.arange(len(p)) - np.searchsorted(p, p) < limit]))
+
+
+def firsts_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The first rows of each predicate among these, and some others where there are many predicates: what is kept at once is bounded."""
+    kept, more, rows = [], [], 0
+    for batch in batches:
+        more.append(batch)
+        rows += batch.num_rows
+        if rows >= max(GATHERED, sum(b.num_rows for b in kept)):
+            kept, more, rows = firsts(pa.Table.from_batches([*kept, *more]), limit).to_batches(), [], 0
+            if sum(b.num_rows for b in kept) > KEPT:
+                yield from kept
+                kept = []
+    if kept or more:
+        yield from firsts(pa.Table.from_batches([*kept, *more]), limit).to_batches()
+
+
+def first_of_each(facts: DataFrame, limit: int) -> DataFrame:
+    """The first facts of each predicate, by line: a task hands on the first ones of its own, and doesn't sort or hold the others."""
+    order = Window.partitionBy("p").orderBy("line_no")
+    found = facts.mapInArrow(lambda batches: firsts_of(batches, limit), facts.schema)
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
+
+
 def first_per_predicate(facts: DataFrame, predicates_limit: int, facts_limit: int) -> DataFrame:
     """Of the predicates that appear first, the first facts of each, by line."""
-    kept = facts.groupBy("p").agg(F.min("line_no").alias("first")).orderBy("first").limit(predicates_limit).select("p")
-    order = Window.partitionBy("p").orderBy("line_no")
-    return facts.join(kept, "p", "left_semi").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= facts_limit).drop("n")
+    rows = stored(first_of_each(facts, facts_limit))  # has the first line of every predicate, so facts are read once
+    kept = rows.groupBy("p").agg(F.min("line_no").alias("first")).orderBy("first").limit(predicates_limit).select("p")
+    return rows.join(F.broadcast(kept), "p", "left_semi")
 
 
 def training_facts(facts: DataFrame, test_subjects: DataFrame, relations: list[str], predicates_limit: int, facts_limit: int) -> DataFrame:
     """Facts to learn from: of wanted relations (none named: all), no test subject, then limited."""
     if relations:
         facts = facts.filter(F.col("p").isin(relations))
-    return first_per_predicate(facts.join(test_subjects.select("s"), "s", "left_anti"), predicates_limit, facts_limit)
+    parts = parts_of(facts, test_subjects)
+    tested = test_subjects.select("s", F.lit(True).alias("tested")).repartition(parts, "s")
+    # not an anti join, which the optimizer moves below the repartition, where it shuffles once more
+    fresh = facts.repartition(parts, "s").join(tested, "s", "left").filter("tested is null").drop("tested")
+    return first_per_predicate(fresh, predicates_limit, facts_limit)
 
 
 def test_facts(facts: DataFrame, per_relation: int) -> DataFrame:
     """The first facts of each relation, which are no more in all than that times the relations."""
-    order = Window.partitionBy("p").orderBy("line_no")
-    return facts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_relation).drop("n")
+    return first_of_each(facts, per_relation)
 
 
 def first_entities(facts: DataFrame, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from phraseweave.functions import text as T
 from phraseweave.operators import facts as facts_of
 from phraseweave.operators import pattern, trees, types
 from phraseweave.plans import queries as plans
+from phraseweave.sources import rdf
 
 OBJECTS = "pattern_id long, relation string, words array<string>, heads array<int>, labels array<string>, start int"
 
@@ -137,3 +138,30 @@ def test_facts_of_two_tables_are_grouped_once(spark, tmp_path, monkeypatch):
     many = session.parts_of(left, right)
     assert few == spark.sparkContext.defaultParallelism < many < session.parts_of(left, right, right)
     assert facts_of.new_facts(left, right).rdd.getNumPartitions() == many
+
+
+def test_first_facts_are_found_without_sorting_the_others(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = rng.sample(range(10_000), 900)
+    rows = [(n, f"s{rng.randrange(40)}", rng.choice(["p", "q", "r", None]), f"o{n}") for n in lines]
+    batches = [pa.RecordBatch.from_pydict({"line_no": [r[0] for r in part], "s": [r[1] for r in part], "p": [r[2] for r in part]}) for part in (rows[i : i + 37] for i in range(0, 900, 37))]
+    by_p = {p: sorted(r[0] for r in rows if r[2] == p) for p in ("p", "q", "r", None)}
+    for gathered, kept in ((50_000, 500_000), (50, 500_000), (1, 10)):
+        monkeypatch.setattr(rdf, "GATHERED", gathered)
+        monkeypatch.setattr(rdf, "KEPT", kept)
+        found = pa.Table.from_batches(rdf.firsts_of(iter(batches), 20)).to_pylist()
+        assert all({n for n in by_p[p][:20]} <= {r["line_no"] for r in found if r["p"] == p} for p in by_p)
+        assert kept == 10 or len(found) == 80
+    facts = spark.createDataFrame(rows, "line_no long, s string, p string, o string")
+    tests = spark.createDataFrame([("s1",), ("s1",), ("s7",), (None,)], "s string")
+    fresh = {p: sorted(r[0] for r in rows if r[2] == p and r[1] not in ("s1", "s7")) for p in by_p}
+    first = sorted((fresh[p][0], p) for p in "pqr")[:2]
+    got = rdf.training_facts(facts, tests, ["p", "q", "r"], 2, 30)
+    assert {(r.p, r.line_no) for r in got.collect()} == {(p, n) for _, p in first for n in fresh[p][:30]} and got.count() == 60
+    whole = rdf.first_of_each(facts, 30)
+    assert "Sort" not in plan_of(whole).split("MapInArrow")[1]
+    # facts are read once
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda s: (seen.add(1), s)[1], "string").asNondeterministic()
+    rdf.training_facts(facts.withColumn("s", counted("s")), tests, [], 2, 30).collect()
+    assert seen.value == 900
